@@ -23,7 +23,7 @@ CHUNK, OVERLAP, HALF, WIDTH, FILTERS = 512, 64, 4, 6, 32
 STEP = CHUNK - OVERLAP
 #: Labelled rows of each class that are fitted on, the lowest by a seeded hash, and chunks of each that are.
 MOST_ROWS, MOST_CHUNKS = 800, 6
-EPOCHS, BATCH, RATE = 10, 32, 4e-3
+STEPS, BATCH, RATE = 600, 32, 4e-3
 SEED = "cnn-1"
 #: Chunks in one matrix product.
 BLOCK = 256
@@ -86,20 +86,16 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Net:
         picked.append(c if len(c) <= MOST_CHUNKS else c[np.linspace(0, len(c) - 1, MOST_CHUNKS).astype(int)])
     y = np.array(labels, np.float32)
     rng = np.random.default_rng(11)
-    m, v, t = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
-    rates = np.linspace(1, 0.1, EPOCHS) * RATE
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            grads = _gradients(net, [picked[i] for i in rows], y[rows])
-            t += 1
-            for p, g, a, b in zip(net.parts(), grads, m, v, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p -= rates[epoch] * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-7)
-    seen = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    net.bias[0] += odds - np.log(seen / (1 - seen))
+    m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
+    of = [np.flatnonzero(y == q) for q in (0, 1)]
+    for t in range(1, STEPS + 1):
+        rows = np.concatenate([rng.choice(own, BATCH // 2) for own in of])
+        grads = _gradients(net, [picked[i] for i in rows], y[rows])
+        for p, g, a, b in zip(net.parts(), grads, m, v, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p -= RATE * (1 - 0.9 * t / STEPS) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-7)
+    net.bias[0] += odds  # batches have as many of either class
     return net
 
 

@@ -102,6 +102,14 @@ def _votes(kind: str, s: Column) -> Column:
     )
 
 
+def _checked(kind: str):
+    return lambda s: valid(kind, s["hit"])
+
+
+def _voted(kind: str):
+    return lambda s: _votes(kind, s)
+
+
 def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base_spans, votes): the base hits, and every candidate with its votes, numbers that touch a base hit left out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), sp.clean(F.col(text)).alias("_clean"))
@@ -109,12 +117,12 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         rows = rows.withColumn(f"_p_{k}", sp.pieces(F.col("_clean"), pattern, GATES[k](F.col("_clean"))))
     rows = rows.drop("_clean")
     for k in PATTERNS:
-        rows = rows.withColumn(f"_s_{k}", F.filter(sp.located(F.col(f"_p_{k}")), lambda s, k=k: valid(k, s["hit"]))).drop(f"_p_{k}")
+        rows = rows.withColumn(f"_s_{k}", F.filter(sp.located(F.col(f"_p_{k}")), _checked(k))).drop(f"_p_{k}")
     base = [k for k in PATTERNS if k != "number"]
     rows = rows.withColumn("base_spans", F.flatten(F.array(*[sp.keyed(F.col(f"_s_{k}"), KINDS.index(k)) for k in base])))
     free = F.filter("_s_number", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     rows = rows.withColumn("_s_number", free)
-    votes = F.flatten(F.array(*[F.transform(f"_s_{k}", lambda s, k=k: _votes(k, s)) for k in PATTERNS]))
+    votes = F.flatten(F.array(*[F.transform(f"_s_{k}", _voted(k)) for k in PATTERNS]))
     return rows.select("doc_id", "base_spans", votes.alias("votes"))
 
 

@@ -167,6 +167,12 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return met.groupBy("_rid").agg(F.collect_set("kind").alias("_rules"))
 
 
+def _long_enough(rule: Rule):
+    if rule.lead:
+        return lambda s: F.length(F.regexp_replace(s["hit"], F.lit("^" + rule.lead), F.lit(""))) >= rule.least
+    return lambda s: F.length(s["hit"]) >= rule.least
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `base_spans` and `spans`, arrays of (start, kind, stop), kind being the rule's place.
 
@@ -185,11 +191,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc
     rows = rows.drop("_clean", "_rid", "_rules")
     for r in rules:
         hits = sp.located(F.col(f"_p_{r.kind}"))
-        if r.lead:
-            hits = F.filter(hits, lambda s, r=r: F.length(F.regexp_replace(s["hit"], F.lit("^" + r.lead), F.lit(""))) >= r.least)
-        elif r.least:
-            hits = F.filter(hits, lambda s, r=r: F.length(s["hit"]) >= r.least)
-        rows = rows.withColumn(f"_s_{r.kind}", hits).drop(f"_p_{r.kind}")
+        rows = rows.withColumn(f"_s_{r.kind}", F.filter(hits, _long_enough(r))).drop(f"_p_{r.kind}")
     base = F.flatten(F.array(*[sp.keyed(F.col(f"_s_{r.kind}"), i) for i, r in enumerate(rules) if r.base]))
     rows = rows.withColumn("base_spans", base)
     more = [sp.keyed(F.col(f"_s_{r.kind}"), i) for i, r in enumerate(rules) if not r.base]
