@@ -33,7 +33,14 @@ whereas whereby wherein whereupon wherever whether which while whither who whoev
 with within without would yet you your yours yourself yourselves
 """.split()
 
-WH_WORDS = ["what", "when", "where", "which", "who", "whom", "whose", "why", "how"]
+#: Words that a rewritten query drops, openings of reasoning sentences, and the terms' own short stop list.
+WH_WORDS = ["who", "what", "when", "where", "why", "which", "how", "does", "is"]
+REASONING = ["thus ", "thus,", "so ", "so,", "that is,", "therefore", "hence"]
+SHORT_STOPS = """
+a an and are as at be been but by for from has have he her his i in is it its of on or she that the their them
+they this to was we were will with you your
+""".split()
+ANSWER_MARK = "So the answer is: "
 
 
 def word_tokens(text: Column) -> Column:
@@ -42,7 +49,7 @@ def word_tokens(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """ASCII words of three or more characters; the segmenters' and tile graphs' terms."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(SHORT_STOPS))
 
 
 def normal_answer(text: Column) -> Column:
@@ -73,11 +80,11 @@ def mentions(title_tokens: Column, text_tokens: Column) -> Column:
     return (F.length(F.array_join(title_tokens, "")) >= 4) & joined(text_tokens).contains(joined(title_tokens))
 
 
-def terminal_answer(raw: Column, marker: str = "Answer:") -> Column:
-    """(answer, ok): the line after the only marker; otherwise the raw text and false."""
-    parts = F.split(raw, marker, -1)
-    tail = F.trim(F.get(parts, 1))
-    ok = (F.size(parts) == 2) & (tail != "") & ~tail.contains("\n")
+def terminal_answer(raw: Column, marker: str = ANSWER_MARK) -> Column:
+    """(answer, ok): the line after the only marker, without one closing dot; otherwise the raw text and false."""
+    parts = F.split(F.trim(raw), marker, -1)
+    tail = F.regexp_replace(F.trim(F.get(parts, 1)), r"\.$", "")
+    ok = (F.size(parts) == 2) & (F.trim(F.get(parts, 1)) != "") & ~F.get(parts, 1).contains("\n")
     return F.struct(F.when(ok, tail).otherwise(raw).alias("answer"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
@@ -86,17 +93,23 @@ def first_sentence(raw: Column) -> Column:
 
 
 def answer_is(sentence: Column) -> Column:
-    """What follows "answer is", without one closing dot; empty where it doesn't occur."""
-    return F.regexp_replace(F.trim(F.regexp_extract(sentence, r"(?is)answer is:?\s+(.*)$", 1)), r"\.$", "")
+    """What follows the last "answer is", without one closing dot; null where it doesn't occur."""
+    found = F.regexp_extract(sentence, r"^.* answer is:? (.*)", 1)
+    return F.when(sentence.rlike(r"^.* answer is:? "), F.regexp_replace(found, r"\.$", ""))
 
 
 def is_reasoning(sentence: Column) -> Column:
-    """Starts with a connective or holds a sum."""
-    return sentence.rlike(r"^(?i:thus|therefore|so|hence|consequently|then|accordingly)\b") | sentence.rlike(r"\d+\s*[-+]\s*\d+\s*=\s*\d+")
+    """Opens with a connective or holds a sum."""
+    low = F.lower(sentence)
+    opens = low.startswith(REASONING[0])
+    for word in REASONING[1:]:
+        opens = opens | low.startswith(word)
+    number = r"(?:\d[\d,]*\.?\d+|\d+)"
+    return opens | sentence.rlike(rf"{number} [+-] {number} = {number}")
 
 
 def without_wh_words(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, " "), lambda w: ~F.lower(w).isin(WH_WORDS)), " ")
+    return F.array_join(F.filter(F.split(text, " "), lambda w: ~F.lower(F.trim(w)).isin(WH_WORDS)), " ")
 
 
 def next_query(question: Column, sentences: Column) -> Column:
@@ -106,10 +119,14 @@ def next_query(question: Column, sentences: Column) -> Column:
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """Offsets of a quote, overlapping ones too; none for an empty quote."""
-    n, q = F.length(text), F.length(quote)
-    spots = F.filter(F.sequence(F.lit(0), F.greatest(n - q, F.lit(0))), lambda i: F.substring(text, i + 1, q) == quote)
-    return F.when((q > 0) & (n >= q), spots).otherwise(F.array().cast("array<int>"))
+    """Offsets of a quote, overlapping ones too; none for an empty quote. One regex pass marks every start."""
+    mark = "\ufdd0"
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    parts = F.split(F.regexp_replace(text, literal, F.lit(mark)), mark, -1)
+    ends = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got"))
+    found = F.aggregate(ends, zero, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["got"], F.array(s["at"] + F.length(p))).alias("got")), lambda s: s["got"])
+    return F.when(F.length(quote) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def count_apart(text: Column, quote: Column) -> Column:

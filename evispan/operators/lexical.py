@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evispan.functions.text import STOP_WORDS, mentions, word_tokens
+from evispan.functions.text import STOP_WORDS, word_tokens
 
 JOB = ["job_id"]
 UNIT = ["job_id", "pos"]
@@ -31,9 +31,11 @@ def query_terms(jobs: DataFrame) -> DataFrame:
     return words.join(F.broadcast(stop_words(jobs.sparkSession)), "term", "left_anti").select("job_id", "term")
 
 
-def _lengths(docs: DataFrame) -> DataFrame:
+def _lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(job_id, pos, len, avg_len, n): token counts by summing the term table, so texts aren't tokenised again."""
     w = Window.partitionBy("job_id")
-    sized = body(docs).select(*UNIT, F.size(word_tokens(F.col("body"))).alias("len"))
+    counted = terms.groupBy(*UNIT).agg(F.sum("tf").alias("len"))
+    sized = docs.select(*UNIT).join(counted, UNIT, "left").select(*UNIT, F.coalesce("len", F.lit(0)).alias("len"))
     return sized.withColumn("avg_len", F.avg("len").over(w)).withColumn("n", F.count("*").over(w))
 
 
@@ -41,7 +43,7 @@ def bm25(docs: DataFrame, wanted: DataFrame, keys: list[str] = JOB, k1: float =
     """(keys, pos, score) for every candidate; wanted has (keys, term), keys starting with job_id. No match scores 0."""
     terms = doc_terms(docs)
     df = terms.groupBy("job_id", "term").agg(F.count("*").alias("df"))
-    size = _lengths(docs)
+    size = _lengths(docs, terms)
     hits = wanted.join(terms, ["job_id", "term"]).join(df, ["job_id", "term"]).join(size, UNIT)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -75,13 +77,29 @@ def cosine_pairs(weights: DataFrame) -> DataFrame:
 
 
 def mention_graph(docs: DataFrame) -> DataFrame:
-    """(job_id, i, j) with i < j where either's title is mentioned in the other's body."""
+    """(job_id, i, j) with i < j where either's title is mentioned in the other's body.
+
+    A title of m tokens is looked up among the bodies' m-grams, an equality join for each length
+    that titles have; titles of under four characters are never mentioned.
+    """
     t = docs.select(*UNIT, word_tokens(F.col("title")).alias("tt"), word_tokens(F.concat_ws("\n", "title", "text")).alias("bt"))
-    # the rarest way in: a title's first token must be among the other's tokens, so join on it instead of all pairs
-    heads = t.where(F.size("tt") > 0).select("job_id", F.col("pos").alias("p"), "tt", F.col("tt")[0].alias("term"))
-    bodies = t.select("job_id", F.col("pos").alias("q"), "bt", F.explode(F.array_distinct("bt")).alias("term"))
-    met = heads.join(bodies, ["job_id", "term"]).where((F.col("p") != F.col("q")) & mentions(F.col("tt"), F.col("bt")))
-    return met.select("job_id", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).distinct()
+    titles = t.where(F.length(F.array_join("tt", "")) >= 4).select("job_id", F.col("pos").alias("p"), F.array_join("tt", " ").alias("phrase"), F.size("tt").alias("m"))
+    lengths = sorted(r["m"] for r in titles.select("m").distinct().collect())
+    found = None
+    for m in lengths:
+        bodies = t.where(F.size("bt") >= m).select("job_id", F.col("pos").alias("q"), F.explode(F.array_distinct(_grams(m))).alias("phrase"))
+        met = titles.where(F.col("m") == m).join(bodies, ["job_id", "phrase"]).where("p <> q").select("job_id", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return titles.select("job_id", F.col("p").alias("i"), F.col("p").alias("j"))
+    return found.distinct()
+
+
+def _grams(m: int) -> Column:
+    """All runs of m tokens of the column bt, joined by spaces."""
+    if m == 1:
+        return F.col("bt")
+    return F.transform(F.slice("bt", 1, F.greatest(F.size("bt") - m + 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get("bt", i + k) for k in range(1, m)]))
 
 
 def coverage(docs: DataFrame, jobs: DataFrame) -> DataFrame:
