@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispan.llm.common import read_table, seeded
+from evispan.llm.common import brought_back, read_table, seeded, set_aside
 
 CHUNK, OVERLAP, HALF, WIDTH, FILTERS = 512, 64, 4, 6, 32
 STEP = CHUNK - OVERLAP
@@ -113,8 +113,8 @@ def _gradients(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.ndar
     tops = np.maximum.reduceat(pooled, starts)
     g_pool = np.repeat(d / sizes, sizes)[:, None] * net.mean
     own = np.repeat(np.arange(len(sizes)), sizes)
-    first = pooled == tops[own]
-    g_pool = g_pool + first * (d[own][:, None] * net.top)
+    largest = pooled == tops[own]  # chunks that tie share the gradient
+    g_pool = g_pool + largest / np.add.reduceat(largest.astype(np.float32), starts)[own] * (d[own][:, None] * net.top)
     g = (g_pool * (best > 0)).astype(np.float32)
     at = where[:, :, None] * HALF + np.arange(2 * HALF)  # chunks, FILTERS, 2 * HALF
     seen = np.take_along_axis(chunks[:, None, :], at.reshape(len(chunks), 1, -1), 2).reshape(at.shape)
@@ -198,7 +198,8 @@ def score(docs: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier predicts as good, in their own columns."""
-    return score(docs, train(docs, labels)).where("score >= 0.5").select(*docs.columns)
+    rows, aside = set_aside(docs, ["score"])
+    return brought_back(score(rows, train(docs, labels)).where("score >= 0.5"), docs.columns, aside)
 
 
 def op7_byte_cnn(spark, sf_dir: str) -> DataFrame:

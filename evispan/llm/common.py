@@ -61,7 +61,7 @@ def seeded(seed: str, *cols: Column) -> Column:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node of an undirected edge list (a, b), as (node, root).
+    """Smallest node reachable from each node of an undirected edge list (a, b), as (node, root), roots themselves included.
 
     Large-star and small-star passes alternate until the edges stay as they are. Each pass is a
     grouped minimum, summed before the shuffle, and a join that Spark may split where a hub is
@@ -89,7 +89,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names renamed, so that an operator's own can't meet them, and what brings each back."""
+    taken = set(docs.columns)
+    aside = {}
+    for name in names:
+        if name in taken:
+            new = f"_own_{name}"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            aside[name] = new
+            docs = docs.withColumnRenamed(name, new)
+    return docs, aside
+
+
+def brought_back(df: DataFrame, columns: list[str], aside: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispan.llm.common import settle
+from evispan.llm.common import brought_back, set_aside, settle
 
 #: A-Z become a-z; bytes 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F separate words.
 _FOLD = bytes(
@@ -237,7 +237,8 @@ def contaminated(min_hit_words: int = 1) -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that share a window with the benchmark, in their own columns."""
-    return find_overlaps(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    rows, aside = set_aside(docs, ["n_words", "matches", "hit_words", "items"])
+    return brought_back(find_overlaps(rows, benchmark, **options).where(~contaminated()), docs.columns, aside)
 
 
 def digest_of(items: list[str]) -> str:

@@ -173,52 +173,53 @@ def _long_enough(rule: Rule):
     return lambda s: F.length(s["hit"]) >= rule.least
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `base_spans` and `spans`, arrays of (start, kind, stop), kind being the rule's place.
-
-    A hit of a later rule that overlaps a base hit is left out. Null and empty texts have no spans;
-    repeated rows each keep theirs; columns of docs with these names are replaced.
-    """
-    docs = docs.drop("base_spans", "spans")
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], doc_id: str, text: str) -> DataFrame:
+    """(row, base_spans, spans): row has all of docs' columns, so that none can meet the names used here."""
     indexed = [r for r in rules if trigram_query(r.regex) != TRUE]
     grams = sorted({g for r in indexed for alt in trigram_query(r.regex) for g in alt})
-    found = candidates(build_index(docs, grams, doc_id=doc_id, text=text), indexed)
-    rows = with_row_id(docs, doc_id, text).join(found, "_rid", "left").withColumn("_clean", sp.clean(F.col(text)))
+    found = candidates(build_index(docs.select(doc_id, text), grams, doc_id=doc_id, text=text), indexed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("_rid", F.xxhash64(F.col("row")[doc_id], F.col("row")[text])).join(found, "_rid", "left").withColumn("_clean", sp.clean(F.col("row")[text]))
     scanned = {r.kind for r in rules} - {r.kind for r in indexed}
     for r in rules:
         gate = F.lit(True) if r.kind in scanned else F.coalesce(F.array_contains("_rules", r.kind), F.lit(False))
         rows = rows.withColumn(f"_p_{r.kind}", sp.pieces(F.col("_clean"), r.regex, gate))
     rows = rows.drop("_clean", "_rid", "_rules")
     for r in rules:
-        hits = sp.located(F.col(f"_p_{r.kind}"))
-        rows = rows.withColumn(f"_s_{r.kind}", F.filter(hits, _long_enough(r))).drop(f"_p_{r.kind}")
-    base = F.flatten(F.array(*[sp.keyed(F.col(f"_s_{r.kind}"), i) for i, r in enumerate(rules) if r.base]))
-    rows = rows.withColumn("base_spans", base)
+        rows = rows.withColumn(f"_s_{r.kind}", F.filter(sp.located(F.col(f"_p_{r.kind}")), _long_enough(r))).drop(f"_p_{r.kind}")
+    rows = rows.withColumn("base_spans", F.flatten(F.array(*[sp.keyed(F.col(f"_s_{r.kind}"), i) for i, r in enumerate(rules) if r.base])))
     more = [sp.keyed(F.col(f"_s_{r.kind}"), i) for i, r in enumerate(rules) if not r.base]
-    if more:
-        free = F.filter(F.flatten(F.array(*more)), lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        rows = rows.withColumn("spans", F.concat("base_spans", free))
-    else:
-        rows = rows.withColumn("spans", F.col("base_spans"))
-    return rows.drop(*[f"_s_{r.kind}" for r in rules])
+    if not more:
+        return rows.select("row", "base_spans", F.col("base_spans").alias("spans"))
+    free = F.filter(F.flatten(F.array(*more)), lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return rows.select("row", "base_spans", F.concat("base_spans", free).alias("spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with `base_spans` and `spans`, arrays of (start, kind, stop), kind being the rule's place.
+
+    A hit of a later rule that overlaps a base hit is left out. Null and empty texts have no spans;
+    repeated rows each keep theirs; columns of docs with these two names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("base_spans", "spans")]
+    return _scanned(docs, rules, doc_id, text).select(*[F.col("row")[c].alias(c) for c in kept], "base_spans", "spans")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span's characters in `text` replaced by its kind in brackets; n_chars follows; other rows and columns stay."""
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    found = scan(docs, rules)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    text = F.col("row")["text"]
 
     def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0))), F.get(kinds, s["kind"]))
+        new = F.concat(acc["out"], F.substring(text, acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0))), F.get(kinds, s["kind"]))
         over = s["start"] + 1 < acc["at"]  # overlaps the span before: only its end counts
         return F.struct(F.when(over, acc["out"]).otherwise(new).alias("out"), F.greatest(acc["at"], s["stop"] + 1).alias("at"))
 
-    redone = F.aggregate(F.sort_array("spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, redone).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    redone = F.aggregate(F.sort_array("spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))))
+    found = _scanned(docs, rules, "doc_id", "text").withColumn("new", F.when(F.size("spans") > 0, redone).otherwise(text))
+    own = {"text": F.col("new"), "n_chars": F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_trigram_secrets(spark, sf_dir: str) -> DataFrame:
