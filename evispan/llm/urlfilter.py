@@ -23,6 +23,7 @@ LEAST_SHARE = 0.05
 LEAST_SCORE = 2.0  # standard errors from the siblings' pooled rate from which a branch stays apart
 SMOOTHING = 4.0
 REJECT = 0.8
+SALTS = 16
 VALUE = r"^(?:[0-9]+(?:\.[a-z0-9]{1,5})?|[0-9a-fA-F-]{16,}|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,8 +60,11 @@ def templates(urls: DataFrame) -> DataFrame:
     for k in range(levels):
         here = flat.where(F.size("_s") > k).withColumn("_seg", F.col("_s")[k])
         child = here.groupBy("host", "template", "_seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "known")])
-        node = child.groupBy("host", "template").agg(F.count("*").alias("_children"), F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), F.sum("known").alias("_known"))
-        both = child.join(node, ["host", "template"])
+        parts = child.groupBy("host", "template", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).alias("_salt")).agg(F.count("*").alias("_children"), F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), F.sum("known").alias("_known"))
+        node = parts.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("_children", "_n", "_bad", "_known")])
+        # a hot host's children are dealt over SALTS tasks, its one node row being copied to each
+        spread = node.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = child.withColumn("_salt", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).cast("int")).join(spread, ["host", "template", "_salt"])
         rare = (F.col("_children") > MOST_CHILDREN) & (F.col("n") < LEAST_SHARE * F.col("_n"))
         pooled = (F.col("_bad") + 0.5) / (F.col("_known") + 1)
         off = F.abs(F.col("bad") - F.col("known") * pooled) / F.sqrt(F.greatest(F.col("known"), F.lit(1.0)) * pooled * (1 - pooled))
