@@ -39,17 +39,34 @@ def _lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return sized.withColumn("avg_len", F.avg("len").over(w)).withColumn("n", F.count("*").over(w))
 
 
+def asked_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(job_id, pos, asked, tokens): a candidate's tokens beside its job's wanted terms, null where the job wants none."""
+    asked = wanted.groupBy("job_id").agg(F.collect_set("term").alias("asked"))
+    return body(docs).select(*UNIT, word_tokens(F.col("body")).alias("tokens")).join(asked, "job_id", "left")
+
+
 def bm25(docs: DataFrame, wanted: DataFrame, keys: list[str] = JOB, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(keys, pos, score) for every candidate; wanted has (keys, term), keys starting with job_id. No match scores 0."""
-    terms = doc_terms(docs)
-    df = terms.groupBy("job_id", "term").agg(F.count("*").alias("df"))
-    size = _lengths(docs, terms)
-    hits = wanted.join(terms, ["job_id", "term"]).join(df, ["job_id", "term"]).join(size, UNIT)
+    """(keys, pos, score) for every candidate; wanted has (keys, term), keys starting with job_id. No match scores 0.
+
+    A question's few terms are counted in the candidate's own row and only hits become rows; longer
+    lists of terms (keys beyond the job) meet the whole term table.
+    """
+    if keys == JOB:
+        rows = asked_tokens(docs, wanted)
+        met = rows.select(*UNIT, F.explode(F.filter("tokens", lambda t: F.array_contains("asked", t))).alias("term"))
+        hits = met.groupBy(*UNIT, "term").agg(F.count("*").alias("tf")).withColumn("df", F.count("*").over(Window.partitionBy("job_id", "term")))
+        w = Window.partitionBy("job_id")
+        size = rows.select(*UNIT, F.size("tokens").alias("len")).withColumn("avg_len", F.avg("len").over(w)).withColumn("n", F.count("*").over(w))
+    else:
+        terms = doc_terms(docs)
+        df = terms.groupBy("job_id", "term").agg(F.count("*").alias("df"))
+        size = _lengths(docs, terms)
+        hits = wanted.join(terms, ["job_id", "term"]).join(df, ["job_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    summed = hits.groupBy(*keys, "pos").agg(F.sum(part).alias("score"))
-    every = wanted.select(*keys).distinct().unionByName(docs.select("job_id").distinct(), allowMissingColumns=True).distinct() if keys == JOB else wanted.select(*keys).distinct()
-    return every.join(docs.select(*UNIT), "job_id").join(summed, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
+    summed = hits.join(size, UNIT).groupBy(*keys, "pos").agg(F.sum(part).alias("score"))
+    every = docs.select(*UNIT) if keys == JOB else wanted.select(*keys).distinct().join(docs.select(*UNIT), "job_id")
+    return every.join(summed, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def scaled(scores: DataFrame, keys: list[str] = JOB, value: str = "score") -> DataFrame:
@@ -104,7 +121,7 @@ def _grams(m: int) -> Column:
 
 def coverage(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """(job_id, pos, term): the question's terms that each candidate has."""
-    return doc_terms(docs).join(query_terms(jobs), ["job_id", "term"]).select(*UNIT, "term")
+    return asked_tokens(docs, query_terms(jobs)).select(*UNIT, F.explode(F.array_intersect("asked", "tokens")).alias("term"))
 
 
 def expansion_terms(docs: DataFrame, k: int = 8) -> DataFrame:

@@ -106,7 +106,7 @@ def transfer_rows(spark, sf_dir, policies=("rank", "singleton", "bundle"), caps=
     """(job_id, policy, cap, spent, n_support, found, recall, complete): every job by every policy and cap, the features computed once."""
     jobs, docs, want = questions(spark, sf_dir), candidates(spark, sf_dir), support(spark, sf_dir)
     scored = docs.join(select.relevance(jobs, docs), ["job_id", "pos"])
-    feats = select.features(jobs, docs) if set(policies) - {"rank"} else None
+    feats = select.features(jobs, docs, tuple(policies)) if set(policies) - {"rank"} else None
     parts = []
     for p in policies:
         for c in caps:
