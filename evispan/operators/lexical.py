@@ -77,20 +77,24 @@ def scaled(scores: DataFrame, keys: list[str] = JOB, value: str = "score") -> Da
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
-    """(job_id, pos, term, w): raw tf times smooth idf, unit rows, stop words removed; a candidate of stop words only has no row."""
+    """(job_id, pos, term, w): raw tf times smooth idf, unit rows, stop words removed; a candidate of stop words only has no row.
+
+    Document frequencies and norms are windows: rows that lie by job stay where they are.
+    """
     terms = doc_terms(docs).join(F.broadcast(stop_words(docs.sparkSession)), "term", "left_anti")
-    df = terms.groupBy("job_id", "term").agg(F.count("*").alias("df"))
+    terms = terms.withColumn("df", F.count("*").over(Window.partitionBy("job_id", "term")))
     n = docs.groupBy("job_id").agg(F.count("*").alias("n"))
-    w = terms.join(df, ["job_id", "term"]).join(n, "job_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = terms.join(n, "job_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*UNIT)))
     return w.withColumn("w", F.col("w") / norm).select(*UNIT, "term", "w")
 
 
 def cosine_pairs(weights: DataFrame) -> DataFrame:
-    """(job_id, i, j, sim) with i < j for pairs that share a term."""
-    a = weights.select("job_id", F.col("pos").alias("i"), "term", F.col("w").alias("wi"))
-    b = weights.select("job_id", F.col("pos").alias("j"), "term", F.col("w").alias("wj"))
-    return a.join(b, (a.job_id == b.job_id) & (a.term == b.term) & (a.i < b.j)).groupBy(a.job_id, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    """(job_id, i, j, sim) with i < j for pairs that share a term, from each term's postings within its job, which are as many as the job's candidates at most."""
+    posts = weights.groupBy("job_id", "term").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("p")).where(F.size("p") > 1)
+    later = lambda x, k: F.transform(F.slice("p", k + 2, F.size("p")), lambda y: F.struct(x["pos"].alias("i"), y["pos"].alias("j"), (x["w"] * y["w"]).alias("v")))
+    pairs = posts.select("job_id", F.explode(F.flatten(F.transform("p", later))).alias("e"))
+    return pairs.groupBy("job_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.v").alias("sim"))
 
 
 def mention_graph(docs: DataFrame) -> DataFrame:
