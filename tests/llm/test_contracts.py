@@ -464,3 +464,35 @@ def test_alignment():
     assert passages.align(p, q) == [(0, 100, 0, 100, 99)]
     assert passages.align(p, p[:40]) == []
     assert passages.align(p, np.concatenate([p[:60], np.arange(5000, 5040, dtype=np.uint32)])) == [(0, 60, 0, 60, 60)]
+
+
+def summary(spark, rows):
+    return {r["doc_id"]: r for r in passages.summarise(*passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()}
+
+
+def covered(row):
+    return {w for s in row["passages"].split(",") if s for w in range(int(s.split(":")[0]), int(s.split(":")[1]))}
+
+
+def test_passages_of_common_seeds_are_linked(spark):
+    """Two texts share 50 words whose pieces of 12 words also stand in 150 other texts each."""
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    cores, rows = [make(50) for _ in range(4)], []
+    for c, core in enumerate(cores):
+        rows += [(1000 * c + 500 * e, " ".join(make(20) + core + make(20))) for e in range(2)]
+        rows += [(1000 * c + 1 + i, " ".join(sum((make(9) + core[max(0, p - 3) : p + 11] for p in range(0, 50, 8)), make(3)))) for i in range(150)]
+    got = summary(spark, rows)
+    for c in range(4):
+        one, two = got[1000 * c], got[1000 * c + 500]
+        assert one["class_id"] == two["class_id"] == 1000 * c and one["n_links"] == two["n_links"] == 1
+        assert set(range(20, 70)) <= covered(one) & covered(two)
+        assert all(got[1000 * c + 1 + i]["n_links"] == 0 for i in range(150))
+
+
+def test_links_count_the_class(spark):
+    rng = random.Random(22)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    core = make(60)
+    got = summary(spark, [(i, " ".join(make(15) + core + make(15))) for i in range(40)])
+    assert {(r["class_id"], r["n_links"]) for r in got.values()} == {(0, 39)}
