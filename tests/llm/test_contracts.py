@@ -496,3 +496,34 @@ def test_links_count_the_class(spark):
     core = make(60)
     got = summary(spark, [(i, " ".join(make(15) + core + make(15))) for i in range(40)])
     assert {(r["class_id"], r["n_links"]) for r in got.values()} == {(0, 39)}
+
+
+def test_every_occurrence_of_a_passage_counts(spark):
+    """The second text has an edited passage twice, and one of its lines once more before; the first has it once."""
+    rng = random.Random(23)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    core = make(90)
+    edited = [list(core) for _ in range(3)]
+    for k, own in enumerate(edited):
+        for at in range(8 + 3 * k, 90, 24):
+            own[at] = f"edit{k}.{at}"
+    got = summary(spark, [(1, " ".join(make(20) + edited[0] + make(20))), (2, " ".join(make(5) + core[:45:1][25:40] + make(100) + edited[1] + make(120) + edited[2] + make(9)))])
+    assert got[1]["n_links"] == got[2]["n_links"] == 1
+    own = covered(got[2])
+    assert len(own & set(range(120, 210))) >= 75 and len(own & set(range(330, 420))) >= 75
+
+
+def test_places_are_crossed_or_tiled():
+    place = np.array([3, 10, 12, *range(0, 200, 10), *range(5, 90, 10)], np.int64)
+    got = np.concatenate(list(passages._crossed(np.array([0, 1]), np.array([1, 2]), np.array([7, 8, 9]), place, np.array([0, 3, 23]), np.array([3, 20, 9]))), axis=1)
+    assert {(x, y) for a, _, x, y in got.T.tolist() if a == 7} == {(x, y) for x in (3, 10, 12) for y in range(0, 200, 10)}
+    tiles = {(x, y) for a, _, x, y in got.T.tolist() if a == 8}
+    assert {x for x, _ in tiles} == set(range(0, 200, 10)) and {y for _, y in tiles} == set(range(5, 90, 10)) and len(tiles) <= 40
+
+
+
+def test_diagonals_cover_both_sides():
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(0, 700, 7), np.arange(3, 350, 7), indexing="ij"))
+    got = passages.diagonals(x, y)
+    assert {w for _, a, b, _, _ in got for w in range(a, b)} >= set(x.tolist()) and {w for *_, a, b in got for w in range(a, b)} >= set(y.tolist())
+    assert len(got) < 20
