@@ -521,9 +521,22 @@ def test_places_are_crossed_or_tiled():
     assert {x for x, _ in tiles} == set(range(0, 200, 10)) and {y for _, y in tiles} == set(range(5, 90, 10)) and len(tiles) <= 40
 
 
-
 def test_diagonals_cover_both_sides():
     x, y = (a.ravel() for a in np.meshgrid(np.arange(0, 700, 7), np.arange(3, 350, 7), indexing="ij"))
     got = passages.diagonals(x, y)
     assert {w for _, a, b, _, _ in got for w in range(a, b)} >= set(x.tolist()) and {w for *_, a, b in got for w in range(a, b)} >= set(y.tolist())
     assert len(got) < 20
+
+
+def test_repeated_lines_align(spark):
+    """A passage of one line of 11 words six times has no word group that stands once."""
+    rng = random.Random(24)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = make(11)
+    edited = line * 6
+    edited[20], edited[40] = "x", "y"
+    p, q = (np.concatenate([rng.integers(100, 10**6, n), np.tile(np.arange(11), 6), rng.integers(100, 10**6, 30)]).astype(np.uint32) for rng, n in ((np.random.default_rng(1), 50), (np.random.default_rng(2), 37)))
+    assert passages.align(p, q, (52, 110, 39, 97)) == [(50, 116, 37, 103, 66)]
+    got = summary(spark, [(1, " ".join(make(70) + line * 6 + make(60))), (2, " ".join(make(80) + edited + make(55)))])
+    assert got[1]["n_links"] == got[2]["n_links"] == 1 and got[2]["class_id"] == 1
+    assert set(range(75, 130)) <= covered(got[1]) and set(range(85, 140)) <= covered(got[2])
