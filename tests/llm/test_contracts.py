@@ -540,3 +540,18 @@ def test_repeated_lines_align(spark):
     got = summary(spark, [(1, " ".join(make(70) + line * 6 + make(60))), (2, " ".join(make(80) + edited + make(55)))])
     assert got[1]["n_links"] == got[2]["n_links"] == 1 and got[2]["class_id"] == 1
     assert set(range(75, 130)) <= covered(got[1]) and set(range(85, 140)) <= covered(got[2])
+
+
+def test_edited_passages_give_chains():
+    rng = np.random.default_rng(25)
+    make = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    found = 0
+    for _ in range(200):
+        core = make(60)
+        own = core.copy()
+        own[rng.permutation(60)[:9]] = make(9)
+        (h, at), (g, to) = (passages.seeds_of(np.concatenate([make(60), c, make(60)])) for c in (core, own))
+        _, i, j = np.intersect1d(h, g, return_indices=True)
+        order = np.argsort(at[i])
+        found += len(i) > 0 and len(passages.chains(at[i][order], to[j][order])) > 0
+    assert found >= 140
