@@ -555,3 +555,11 @@ def test_edited_passages_give_chains():
         order = np.argsort(at[i])
         found += len(i) > 0 and len(passages.chains(at[i][order], to[j][order])) > 0
     assert found >= 140
+
+
+def test_own_repeats_are_no_passages(spark):
+    rng = random.Random(26)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    core, own = make(60), make(70)
+    got = summary(spark, [(1, " ".join(core + make(20) + own + make(20) + own)), (2, " ".join(make(30) + core + make(9)))])
+    assert covered(got[1]) == set(range(60)) and covered(got[2]) == set(range(30, 90))
