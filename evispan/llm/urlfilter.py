@@ -1,9 +1,11 @@
 """URL filters: rules, and a path-template tree per host for what no rule decides.
 
 A host's distinct paths are walked a segment at a time. Under each node of the tree a segment
-becomes a wildcard where it is one of very many or looks like a value, and branches whose labels
-don't differ from their siblings' are merged; the rest stay literal. A template is rejected where
-its labelled purity, smoothed towards the host's and the corpus's, is high enough. Labels are the
+becomes a wildcard where it looks like a value or is a rare one of very many. Labelled branches
+whose rate doesn't differ from that of their siblings, each held against the others without it,
+are merged into one; a labelled branch that differs stays literal even if rare, and an unlabelled
+one is never merged with labelled ones. A template is rejected where its own labelled purity,
+smoothed towards the corpus's rate, is high enough, so one without labels never is. Labels are the
 rules' own verdicts on the urls they decide. Every step is a grouped count and a join on keys of
 distinct paths, so a hot host or a hot url is summed before it is shuffled.
 """
@@ -13,15 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispan.llm.common import read_table, settle
+from evispan.llm.common import read_table, settle, union_all
 
 #: The contract's rules: (rule, verdict).
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-DEPTH = 6  # segments walked one by one; what is deeper forms one last segment
-MOST_CHILDREN = 24  # a node with more children keeps as literals only those with LEAST_SHARE of its urls
+MOST_CHILDREN = 24  # a node with more children keeps as literals those with LEAST_SHARE of its urls, and those whose labels differ
 LEAST_SHARE = 0.05
-LEAST_SCORE = 2.0  # standard errors from the siblings' pooled rate from which a branch stays apart
-SMOOTHING = 4.0
+LEAST_SCORE = 3.0  # standard errors from the other siblings' rate from which a branch stays apart
+MERGED = "+"  # stands for the labelled branches of a node that are alike
+SMOOTHING, MOST_PRIOR = 4.0, 0.5  # the prior stays under REJECT, so that labels alone reject
 REJECT = 0.8
 SALTS = 16
 VALUE = r"^(?:[0-9]+(?:\.[a-z0-9]{1,5})?|[0-9a-fA-F-]{16,}|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
@@ -49,37 +51,55 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
+def _differs(bad: Column, known: Column, all_bad: Column, all_known: Column) -> Column:
+    """Whether a branch's labelled rate differs from that of its siblings without it; null where either side has no label."""
+    others, rest = all_bad - bad, all_known - known
+    p, q = (bad + 1) / (known + 2), (others + 1) / (rest + 2)
+    z = F.abs(p - q) / F.sqrt(p * (1 - p) / (known + 2) + q * (1 - q) / (rest + 2))
+    return F.when((known > 0) & (rest > 0), z >= LEAST_SCORE)
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, path, template, n, block_rate, rejected) for the different (host, path) of urls (host, path, label: 1 block, 0 allow or null)."""
-    flat = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.coalesce("label", F.lit(0))).cast("double").alias("bad"), F.count("label").cast("double").alias("known"))
+    """(host, path, template, n, known, block_rate, rejected) for the different (host, path) of urls (host, path, label: 1 block, 0 allow or null).
+
+    A path leaves the walk where it is the only one under its node: what is left of it is generalised
+    by itself. So there are as many rounds as any two paths share segments, and one more. An empty
+    path is its own template; null hosts and paths count as empty; repeated rows add up.
+    """
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")]
+    flat = urls.select(*blank, "label").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.coalesce("label", F.lit(0))).cast("double").alias("bad"), F.count("label").cast("double").alias("known"))
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    deep = F.concat(F.slice("_s", 1, F.lit(DEPTH)), F.array(F.array_join(F.slice("_s", DEPTH + 1, F.greatest(F.size("_s") - DEPTH, F.lit(0))), "/")))
-    flat = flat.withColumn("_s", parts).withColumn("_s", F.when(F.size("_s") > DEPTH, deep).otherwise(F.col("_s"))).withColumn("template", F.lit(""))
-    flat = settle(flat)
-    levels = flat.agg(F.max(F.size("_s"))).first()[0] or 0
-    for k in range(levels):
-        here = flat.where(F.size("_s") > k).withColumn("_seg", F.col("_s")[k])
-        child = here.groupBy("host", "template", "_seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "known")])
-        parts = child.groupBy("host", "template", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).alias("_salt")).agg(F.count("*").alias("_children"), F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), F.sum("known").alias("_known"))
-        node = parts.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("_children", "_n", "_bad", "_known")])
+    walk = settle(flat.withColumn("_s", parts).withColumn("template", F.lit("")))
+    done, k = [], 0
+    while True:
+        ended = F.size("_s") <= k
+        here = walk.where(~ended).withColumn("_seg", F.col("_s")[k])
+        child = here.groupBy("host", "template", "_seg").agg(F.count("*").alias("_paths"), *[F.sum(c).alias(c) for c in ("n", "bad", "known")])
+        dealt = child.withColumn("_salt", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).cast("int"))
+        part = dealt.groupBy("host", "template", "_salt").agg(F.count("*").alias("_children"), *[F.sum(c).alias(f"_{c}") for c in ("n", "bad", "known")])
+        node = part.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("_children", "_n", "_bad", "_known")])
         # a hot host's children are dealt over SALTS tasks, its one node row being copied to each
         spread = node.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = child.withColumn("_salt", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).cast("int")).join(spread, ["host", "template", "_salt"])
+        both = dealt.join(spread, ["host", "template", "_salt"])
+        differs = _differs(F.col("bad"), F.col("known"), F.col("_bad"), F.col("_known"))
         rare = (F.col("_children") > MOST_CHILDREN) & (F.col("n") < LEAST_SHARE * F.col("_n"))
-        pooled = (F.col("_bad") + 0.5) / (F.col("_known") + 1)
-        off = F.abs(F.col("bad") - F.col("known") * pooled) / F.sqrt(F.greatest(F.col("known"), F.lit(1.0)) * pooled * (1 - pooled))
-        wild = rare | F.col("_seg").rlike(VALUE) | (off < LEAST_SCORE)
-        named = both.select("host", "template", "_seg", F.when(wild, F.lit("*")).otherwise(F.col("_seg")).alias("_as"))
-        step = flat.withColumn("_seg", F.when(F.size("_s") > k, F.col("_s")[k])).join(named, ["host", "template", "_seg"], "left")
-        flat = settle(step.withColumn("template", F.concat("template", F.when(F.col("_seg").isNotNull(), F.concat(F.lit("/"), "_as")).otherwise(F.lit("")))).drop("_seg", "_as"))
-    sums = [F.sum(c).alias(f"_{c}") for c in ("n", "bad", "known")]
-    leaf = flat.groupBy("host", "template").agg(*sums)
-    hosts = leaf.groupBy("host").agg(F.sum("_bad").alias("_hb"), F.sum("_known").alias("_hk"))
+        alike = (F.col("_children") > 1) & F.coalesce(~differs, F.lit(False))
+        name = F.when(F.col("_seg").rlike(VALUE), F.lit("*")).when(F.coalesce(differs, F.lit(False)), F.col("_seg")).when(rare, F.lit("*")).when(alike, F.lit(MERGED)).otherwise(F.col("_seg"))
+        named = both.select("host", "template", "_seg", name.alias("_as"), (F.col("_paths") == 1).alias("_sole"))
+        step = settle(here.join(named, ["host", "template", "_seg"]).withColumn("template", F.concat("template", F.lit("/"), "_as")))
+        left = F.transform(F.slice("_s", k + 2, F.greatest(F.size("_s") - k - 1, F.lit(0))), lambda x: F.concat(F.lit("/"), F.when(x.rlike(VALUE), F.lit("*")).otherwise(x)))
+        alone = F.col("_sole") & ~F.col("_as").isin("*", MERGED)  # below a wildcard other branches' paths may meet this one's
+        keep = ["host", "path", "n", "bad", "known", "template"]
+        done += [walk.where(ended).select(*keep), step.where(alone).withColumn("template", F.concat("template", F.array_join(left, ""))).select(*keep)]
+        walk, k = step.where(~alone).select(*keep, "_s"), k + 1
+        if walk.isEmpty():
+            break
+    flat = settle(union_all(done))
+    leaf = flat.groupBy("host", "template").agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "bad", "known")])
     every = leaf.agg(F.coalesce(F.sum("_bad"), F.lit(0.0)).alias("_b"), F.coalesce(F.sum("_known"), F.lit(0.0)).alias("_k")).first()
-    overall = (every["_b"] + 0.5) / (every["_k"] + 1)
-    host_rate = (F.col("_hb") + SMOOTHING * overall) / (F.col("_hk") + SMOOTHING)
-    rate = (F.col("_bad") + SMOOTHING * host_rate) / (F.col("_known") + SMOOTHING)
-    judged = leaf.join(hosts, "host").select("host", "template", F.col("_n").alias("n"), rate.alias("block_rate"), (rate >= REJECT).alias("rejected"))
+    prior = min((every["_b"] + 0.5) / (every["_k"] + 1), MOST_PRIOR)
+    rate = (F.col("_bad") + SMOOTHING * prior) / (F.col("_known") + SMOOTHING)
+    judged = leaf.select("host", "template", F.col("_n").alias("n"), F.col("_known").cast("long").alias("known"), rate.alias("block_rate"), (rate >= REJECT).alias("rejected"))
     return flat.select("host", "path", "template").join(judged, ["host", "template"])
 
 
@@ -100,4 +120,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, url: str =
 
 
 def op1_path_templates(spark, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict, with its template and that template's smoothed rate; as judge() otherwise."""
     return judge(read_table(spark, sf_dir, "pages"))
