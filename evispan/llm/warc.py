@@ -3,12 +3,14 @@
 Capture writes records as whole-file gzip streams through Spark's own writer, payloads that occur
 before as revisits. The normaliser inflates each file's stream once, rewrites every record as a
 gzip member of its own, and keeps a sidecar index of member offsets, so that any record can be
-read alone. Memory is bounded by a file's compressed bytes and its largest record.
+read alone. Files are streamed, never held: memory is bounded by the largest record, however large
+the file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -75,19 +77,36 @@ def capture(decided: DataFrame, path: str, *, file_records: int = FILE_RECORDS)
     decided.select(record.alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
 
 
-def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip stream of one or more members, a piece at a time."""
-    while data:
-        z = zlib.decompressobj(31)
-        rest = data
+def inflated(stream, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip stream of one or more members, a piece of at most `step` bytes at a time; `stream` is read once."""
+    z, rest = None, stream.read(step)
+    while rest:
+        if z is None:
+            z = zlib.decompressobj(31)
+        piece = z.decompress(rest, step)
+        if piece:
+            yield piece
+        if z.eof:
+            rest, z = z.unused_data or stream.read(step), None
+        else:
+            rest = z.unconsumed_tail or stream.read(step)
+    if z is not None:
+        raise ValueError("the gzip stream ends early")
+
+
+def members(stream, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, inflated bytes) of each gzip member of a stream; memory holds one member."""
+    at, rest = 0, stream.read(step)
+    while rest:
+        z, got, used = zlib.decompressobj(31), [], 0
         while not z.eof:
-            piece = z.decompress(rest, step)
-            rest = z.unconsumed_tail
-            if piece:
-                yield piece
-            elif not rest and not z.eof:
+            if not rest:
                 raise ValueError("the gzip stream ends early")
-        data = z.unused_data
+            got.append(z.decompress(rest))
+            used += len(rest) - len(z.unused_data)
+            rest = z.unused_data if z.eof else stream.read(step)
+        yield at, used, b"".join(got)
+        at, rest = at + used, rest or stream.read(step)
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -151,15 +170,16 @@ def normalise(spark, source: str, target: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(target)
+        (whence, top), (store, root) = pafs.FileSystem.from_uri(source), pafs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = path.rsplit("/", 1)[1].split(".")[0] + ".warc.gz"
+            for path in batch.column(0).to_pylist():
+                raw = path.rsplit("/", 1)[1]
+                name = raw.split(".")[0] + ".warc.gz"
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
                 rows, at = [], 0
-                with store.open_output_stream(part) as out:
-                    for fields, payload, whole in records(inflated(content.as_py())):
+                with whence.open_input_stream(f"{top}/{raw}", compression=None) as stream, store.open_output_stream(part, compression=None) as out:
+                    for fields, payload, whole in records(inflated(stream)):
                         packed = member(whole)
                         out.write(packed)
                         rows.append(_row(name, at, len(packed), fields, payload))
@@ -170,7 +190,7 @@ def normalise(spark, source: str, target: str) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield _batch(rows[k : k + 10_000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     files.mapInArrow(run, INDEX).write.parquet(f"{target}/index")
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
@@ -179,24 +199,21 @@ def read_back(spark, target: str) -> DataFrame:
     """The index's columns as the archives under target themselves have them, every payload's digest computed anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(target)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, rows, at = content.as_py(), [], 0
-                view = memoryview(data)
-                while at < len(data):
-                    z = zlib.decompressobj(31)
-                    got, stop = [], at
-                    while not z.eof:
-                        got.append(z.decompress(view[stop : stop + 65536]))
-                        stop = min(stop + 65536, len(data))
-                    stop -= len(z.unused_data)
-                    fields, payload, _ = next(records(iter([b"".join(got)])))
-                    rows.append(_row(path.rsplit("/", 1)[1], at, stop - at, fields, payload))
-                    at = stop
-                for k in range(0, len(rows), 10_000):
-                    yield _batch(rows[k : k + 10_000])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target).select("path", "content")
+            for path in batch.column(0).to_pylist():
+                name, rows = path.rsplit("/", 1)[1], []
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    for at, size, whole in members(stream):
+                        fields, payload, _ = next(records(iter([whole])))
+                        rows.append(_row(name, at, size, fields, payload))
+                        if len(rows) == 10_000:
+                            yield _batch(rows)
+                            rows = []
+                if rows:
+                    yield _batch(rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target).select("path")
     return files.mapInArrow(run, INDEX)
 
 
@@ -205,11 +222,12 @@ def read_record(target: str, archive: str, offset: int, length: int) -> tuple[di
     store, root = pafs.FileSystem.from_uri(target)
     with store.open_input_file(f"{root}/{archive}") as f:
         data = f.read_at(length, offset)
-    fields, payload, _ = next(records(inflated(data)))
+    fields, payload, _ = next(records(inflated(io.BytesIO(data))))
     return fields, payload
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """A row per page, read from the archives themselves and held against the sidecar index; nulls and repeated rows as in decide()."""
     raw, target = fresh_path(spark, "capture"), fresh_path(spark, "warc")
     capture(decide(read_table(spark, sf_dir, "pages")), raw)
     index = normalise(spark, raw, target)
