@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from evispan.llm.common import brought_back, read_table, seeded, set_aside
+from evispan.llm.common import brought_back, lowest, read_table, seeded, set_aside, settle
 
 CHUNK, OVERLAP, HALF, WIDTH, FILTERS = 512, 64, 4, 6, 32
 STEP = CHUNK - OVERLAP
-#: Labelled rows of each class that are fitted on, the lowest by a seeded hash, and chunks of each that are.
-MOST_ROWS, MOST_CHUNKS = 800, 6
+#: Labelled rows of each class that are fitted on, the lowest by a seeded hash; their whole texts are.
+MOST_ROWS = 800
 STEPS, BATCH, RATE = 600, 32, 4e-3
 SEED = "cnn-1"
 #: Chunks in one matrix product.
@@ -80,17 +81,13 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Net:
     if len(set(labels)) < 2:
         net.mean[:], net.top[:], net.bias[0] = 0, 0, odds
         return net
-    picked = []
-    for t in texts:
-        c = chunks_of(t)
-        picked.append(c if len(c) <= MOST_CHUNKS else c[np.linspace(0, len(c) - 1, MOST_CHUNKS).astype(int)])
     y = np.array(labels, np.float32)
     rng = np.random.default_rng(11)
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     of = [np.flatnonzero(y == q) for q in (0, 1)]
     for t in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(own, BATCH // 2) for own in of])
-        grads = _gradients(net, [picked[i] for i in rows], y[rows])
+        grads = _gradients(net, [chunks_of(texts[i]) for i in rows], y[rows])
         for p, g, a, b in zip(net.parts(), grads, m, v, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -100,12 +97,15 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Net:
 
 
 def _gradients(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+    """The mean loss's gradient over all chunks of the texts, BLOCK of them at a time, forth and back."""
     chunks = np.concatenate(texts)
     sizes = np.array([len(c) for c in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    raw = net.responses(chunks)
-    where = raw.argmax(axis=1)  # a filter's gradient reaches only the place of its largest response
-    best = np.take_along_axis(raw, where[:, None], 1)[:, 0] + net.shift
+    where, best = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), np.float32)
+    for at in range(0, len(chunks), BLOCK):
+        raw = net.responses(chunks[at : at + BLOCK])
+        where[at : at + BLOCK] = raw.argmax(axis=1)  # a filter's gradient reaches only the place of its largest response
+        best[at : at + BLOCK] = np.take_along_axis(raw, where[at : at + BLOCK, None], 1)[:, 0] + net.shift
     pooled = np.maximum(best, 0)
     z = net.logits(pooled, starts)
     d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
@@ -116,14 +116,16 @@ def _gradients(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.ndar
     largest = pooled == tops[own]  # chunks that tie share the gradient
     g_pool = g_pool + largest / np.add.reduceat(largest.astype(np.float32), starts)[own] * (d[own][:, None] * net.top)
     g = (g_pool * (best > 0)).astype(np.float32)
-    at = where[:, :, None] * HALF + np.arange(2 * HALF)  # chunks, FILTERS, 2 * HALF
-    seen = np.take_along_axis(chunks[:, None, :], at.reshape(len(chunks), 1, -1), 2).reshape(at.shape)
-    x = net.bytes_[seen]  # chunks, FILTERS, 2 * HALF, WIDTH
-    g_filters = np.einsum("cf,cfkw->kwf", g, x).reshape(2, HALF * WIDTH, FILTERS)
-    weights = net.filters.reshape(2 * HALF, WIDTH, FILTERS)
-    back = g[:, :, None, None] * weights.transpose(2, 0, 1)[None]
-    flat = seen.reshape(-1)
-    g_bytes = np.stack([np.bincount(flat, back[..., w].reshape(-1), 256) for w in range(WIDTH)], 1).astype(np.float32)
+    weights = net.filters.reshape(2 * HALF, WIDTH, FILTERS).transpose(2, 0, 1)
+    g_filters, g_bytes = np.zeros_like(net.filters), np.zeros((256, WIDTH), np.float32)
+    for at in range(0, len(chunks), BLOCK):
+        part = slice(at, at + BLOCK)
+        places = where[part][:, :, None] * HALF + np.arange(2 * HALF)  # chunks, FILTERS, 2 * HALF
+        seen = np.take_along_axis(chunks[part][:, None, :], places.reshape(len(places), 1, -1), 2).reshape(places.shape)
+        flat = seen.reshape(-1)
+        back = g[part][:, :, None, None] * weights
+        g_filters += np.einsum("cf,cfkw->kwf", g[part], net.bytes_[seen], optimize=True).reshape(net.filters.shape)
+        g_bytes += np.stack([np.bincount(flat, back[..., w].reshape(-1), 256) for w in range(WIDTH)], 1).astype(np.float32)
     return [g_bytes, g_filters, g.sum(0), means.T @ d + 1e-4 * net.mean, tops.T @ d + 1e-4 * net.top, np.array([d.sum()], np.float32)]
 
 
@@ -169,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Net
     """Fit on at most `most_rows` rows of each class that aren't held out; of several labels or texts for an id the lowest counts."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~_held_out())
     there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_h", seeded(SEED, F.col("doc_id")))
+    there = settle(there.select("doc_id", F.col("quality").cast("int").alias("quality"), "_h"))
     total = {r["quality"]: r["n"] for r in there.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    ids = [r for q in (0, 1) for r in there.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(most_rows).collect()]
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in ids], "doc_id long, quality int")
+    ids = [r for q in (0, 1) for r in lowest(there.where(F.col("quality") == q), total.get(q, 0), most_rows)]
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in ids], StructType([docs.schema["doc_id"], StructField("quality", IntegerType())]))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     good = total.get(1, 0)
@@ -181,8 +183,6 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Net
 
 def score(docs: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
     """docs with `score`, from the text alone; null and empty texts are scored as one chunk of zeros."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     docs = docs.drop("score")
     names = docs.columns
 
@@ -203,6 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_byte_cnn(spark, sf_dir: str) -> DataFrame:
+    """A row per document with its score; null and empty texts as in score(), repeated rows repeated, without labels of both classes one constant."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     net = train(docs, read_table(spark, sf_dir, "labels"))
     found = score(docs, net).select("doc_id", "score")

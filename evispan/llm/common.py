@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words in most contracts: space and the controls 9 to 13.
@@ -19,12 +20,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a session on one machine may go without, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='evispan-')}")
     return sc.getCheckpointDir().rstrip("/")
 
@@ -60,6 +63,20 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def lowest(rows: DataFrame, count: int, most: int, by: str = "_h") -> list[Row]:
+    """The `most` rows lowest in a seeded() column, of `count` in all; the driver gets about that many, not as many from each task."""
+    if count <= most:
+        found = rows.collect()
+    else:
+        bound, found = (most + 4 * int(most**0.5) + 4) / count, []
+        while len(found) < most:
+            found = rows.where(F.col(by) < int(min(1.0, bound) * (1 << 60))).collect()
+            if bound >= 1:
+                break
+            bound *= 2
+    return sorted(found, key=lambda r: (r[by], *map(str, r)))[:most]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list (a, b), as (node, root), roots themselves included.
 

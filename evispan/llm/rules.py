@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispan.llm.common import read_table, seeded, settle, words_of
+from evispan.llm.common import lowest, read_table, seeded, settle, words_of
 
 #: Rows of each class that are learned from, the lowest by a seeded hash.
 MOST_ROWS = 4000
@@ -166,14 +166,19 @@ def rejected_by(rules: DecisionList) -> Column:
 def train(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DecisionList:
     """Learn from labelled rows, at most `most_rows` of each class; of several labels for an id the lowest counts."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    both = stats.join(known, "doc_id").withColumn("_h", seeded(SEED, F.col("doc_id")))
-    parts = [both.where(F.col("quality") == q).orderBy("_h", "doc_id", *FEATURES).limit(most_rows).collect() for q in (0, 1)]
-    rows = sorted((r for part in parts for r in part), key=lambda r: (r["_h"], r["doc_id"]))
+    both = stats.join(known, "doc_id").select("doc_id", "quality", *FEATURES, seeded(SEED, F.col("doc_id")).alias("_h"))
+    total = {r["quality"]: r["n"] for r in both.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    parts = [lowest(both.where(F.col("quality") == q), total.get(q, 0), most_rows) for q in (0, 1)]
+    rows = sorted((r for part in parts for r in part), key=lambda r: (r["_h"], r["doc_id"], *[r[f] for f in FEATURES]))
     return learn([({f: float(r[f]) for f in FEATURES}, 1 - int(r["quality"])) for r in rows])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, BASE, base_failed, rule, kept); rule is the first learned rule met, or null."""
+    """(doc_id, BASE, base_failed, rule, kept), a row per row of docs; rule is the first learned rule met, or null.
+
+    Null and empty texts have no words and fail the base; without labels of both classes nothing
+    is learned and only the base rejects; columns other than doc_id and text play no part.
+    """
     stats = settle(statistics(docs))
     rules = train(stats, labels)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -181,4 +186,5 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_decision_list(spark, sf_dir: str) -> DataFrame:
+    """Every document's base statistics and verdict; edge cases as in apply_rules()."""
     return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -182,5 +182,6 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null and empty texts, repeated rows and null ids as in near_duplicates()."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
