@@ -1,12 +1,13 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every Arrow batch of training documents is a shard. Its words become numbers of the benchmark's
-vocabulary; ranks of 2, 4, 8 ... words are doubled up as in suffix-array construction, only where
-both halves can still match. The suffixes that survive, sorted by their leading words, are the
-shard's suffix array; every benchmark suffix of a window's length is looked up in it by binary
-search, and each occurrence is lengthened to the longest verbatim match.
-
-The benchmark is read in blocks of bounded bytes, so that nothing unbounded is shipped.
+A task gathers training documents into shards of bounded size. All suffixes of a shard's words are
+sorted by prefix doubling, from three words (one where numbers are large) on, until a window's length is reached: the shard's
+suffix array. Every benchmark suffix of a window's length is binary-searched in it, which gives the
+places of all its occurrences; occurrences that follow each other on one diagonal of document and
+item are one longest match.
+
+The benchmark is shipped in blocks of bounded bytes. With several blocks the documents are read
+once for each, only (text's key, matches) of what matched is kept, and one join brings all back.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from evispan.llm.common import brought_back, set_aside, settle
+from evispan.llm.common import brought_back, read_table, set_aside, settle, union_all
 
 #: A-Z become a-z; bytes 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F separate words.
 _FOLD = bytes(
@@ -33,130 +35,117 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class TestIndex:
-    """Vocabulary, rank tables and windows of one benchmark block."""
+class Benchmark:
+    """One block of benchmark items as word numbers, and where its windows begin."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.vocab: dict[bytes, int] = {}
+        vocab: dict[bytes, int] = {}
         self.items: list[str] = []
-        self.owner, self.offset, seqs = [], [], []
-        wanted: dict[int, list[int]] = {}
-        at = 0
+        self.window = window
+        seqs, owner, offset, starts, sizes = [], [], [], [], []
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
+            ids = [vocab.setdefault(w, len(vocab)) for w in words(text)]
             if not ids:
                 continue
-            own = len(self.items)
-            self.items.append(item)
             size = min(window, len(ids))
-            wanted.setdefault(size, []).extend(range(at, at + len(ids) - size + 1))
-            seqs += [*ids, 0]
-            self.owner += [own] * (len(ids) + 1)
-            self.offset += range(len(ids) + 1)
-            at += len(ids) + 1
-        self.seq = np.array(seqs, dtype=np.int64)
-        self.tables: dict[int, np.ndarray] = {}
-        ranks = {1: self.seq}
-        half = 1
-        while 2 * half <= max(wanted, default=0):
-            keys = _paired(ranks[half], half)
-            self.tables[half] = np.unique(keys[keys > 0])
-            ranks[2 * half] = _looked_up(keys, self.tables[half])
-            half *= 2
-        self.windows = {}
-        for size, starts in wanted.items():
-            starts = np.array(starts)
-            keys = _window_keys(ranks, starts, size)
-            order = np.lexsort(keys[::-1])
-            self.windows[size] = ([k[order] for k in keys], starts[order])
-
-
-def _paired(rank: np.ndarray, gap: int) -> np.ndarray:
-    """Key of the ranks at i and i + gap; 0 where either is 0."""
-    right = np.zeros_like(rank)
-    right[: max(0, len(rank) - gap)] = rank[gap:]
-    return np.where((rank > 0) & (right > 0), (rank << 32) | right, 0)
-
-
-def _looked_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """1-based place of each key in the sorted table, 0 where it isn't there."""
-    out = np.zeros(len(keys), dtype=np.int64)
-    live = np.flatnonzero(keys)
-    if len(live) and len(table):
-        k = keys[live]
-        place = np.minimum(np.searchsorted(table, k), len(table) - 1)
-        same = table[place] == k
-        out[live[same]] = place[same] + 1
-    return out
-
-
-def _parts(size: int) -> list[tuple[int, int]]:
-    """A window as runs of powers of two: (offset, length)."""
-    out, at = [], 0
-    while at < size:
-        step = 1 << ((size - at).bit_length() - 1)
-        out.append((at, step))
-        at += step
-    return out
-
-
-def _window_keys(ranks: dict[int, np.ndarray], starts: np.ndarray, size: int) -> list[np.ndarray]:
-    return [ranks[step][starts + at] for at, step in _parts(size)]
-
-
-def _folded(keys: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One number per window on both sides, equal where all parts are equal."""
-    a, b = keys[0], other[0]
-    for x, y in zip(keys[1:], other[1:], strict=True):
-        table = np.unique(np.concatenate([(a << 32) | x, (b << 32) | y]))
-        a, b = np.searchsorted(table, (a << 32) | x), np.searchsorted(table, (b << 32) | y)
-    return a, b
-
-
-def shard_matches(index: TestIndex, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int, str, int]]]]:
+            starts.append(len(seqs) + np.arange(len(ids) - size + 1))
+            sizes.append(np.full(len(ids) - size + 1, size))
+            owner += [len(self.items)] * len(ids)
+            offset += range(len(ids))
+            self.items.append(item)
+            seqs += ids
+        none = [np.zeros(0, np.int64)]
+        self.vocab = list(vocab)
+        self.seq, self.owner, self.offset = (np.array(x, np.int64) for x in (seqs, owner, offset))
+        self.starts, self.sizes = np.concatenate(starts or none), np.concatenate(sizes or none)
+
+
+def suffix_array(train: np.ndarray, depth: int) -> np.ndarray:
+    """The places of train sorted by the words that follow, to `depth` words at least; places beyond the end count as 0."""
+    n = len(train)
+
+    def shifted(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros_like(x)
+        out[: max(0, n - by)] = x[by:]
+        return out
+
+    few = n == 0 or int(train.max()) < 1 << 21
+    key, known = ((train << 42) | (shifted(train, 1) << 21) | shifted(train, 2), 3) if few else (train, 1)
+    while True:
+        order = np.argsort(key, kind="stable")
+        if known >= depth:
+            return order
+        ranked = key[order]
+        new = np.concatenate([[1], (ranked[1:] != ranked[:-1]).astype(np.int64)])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if rank[order[-1]] == n:
+            return order  # all suffixes differ already
+        key, known = (rank << 32) | shifted(rank, known), 2 * known
+
+
+def occurrences(train: np.ndarray, array: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the part of the suffix array whose suffixes begin with each row of queries, by binary search of all rows at once."""
+    n, size = len(array), queries.shape[1]
+    padded = np.concatenate([train, np.zeros(size, np.int64)])
+    step = np.arange(size)
+
+    def bound(after: bool) -> np.ndarray:
+        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), n)
+        while (live := np.flatnonzero(low < high)).size:
+            mid = (low[live] + high[live]) // 2
+            diff = padded[array[mid][:, None] + step] - queries[live]
+            at = (diff != 0).argmax(axis=1)
+            sign = diff[np.arange(len(live)), at]
+            right = (sign < 0) | ((sign == 0) & after)
+            low[live], high[live] = np.where(right, mid + 1, low[live]), np.where(right, high[live], mid)
+        return low
+
+    return bound(False), bound(True)
+
+
+#: Benchmark suffixes that are searched, and occurrences that are merged, at once.
+QUERIES = 50_000
+
+
+def shard_matches(bench: Benchmark, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int, str, int]]]]:
     """Words of each text, and its longest matches (start, length, item, start in the item)."""
-    get = index.vocab.get
+    vocab: dict[bytes, int] = {}
     ids, bounds, counts = [], [0], []
     for t in texts:
         w = words(t)
         counts.append(len(w))
-        ids.extend([get(x, 0) for x in w])
+        ids += [vocab.setdefault(x, len(vocab) + 1) for x in w]
         ids.append(0)
         bounds.append(len(ids))
     found: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
-    train = np.array(ids, dtype=np.int64)
-    ranks = {1: train}
-    for half, table in index.tables.items():
-        ranks[2 * half] = _looked_up(_paired(ranks[half], half), table)
-    hits = []
-    for size, (keys, starts) in index.windows.items():
-        ok = None
-        for at, step in _parts(size):
-            live = np.flatnonzero(ranks[step]) if ok is None else ok
-            if ok is not None:
-                live = live[live + at < len(train)]
-                live = live[ranks[step][live + at] > 0]
-            ok = live
-        if ok is None or not len(ok):
-            continue
-        mine, theirs = _folded(_window_keys(ranks, ok, size), keys)
-        array = ok[np.argsort(mine, kind="stable")]  # the shard's suffix array, to the window's depth
-        mine = np.sort(mine)
-        low, high = np.searchsorted(mine, theirs, "left"), np.searchsorted(mine, theirs, "right")
-        for test, a, b in zip(starts[high > low], low[high > low], high[high > low], strict=True):
-            hits += [(int(p), int(test), size) for p in array[a:b]]
-    edges = np.array(bounds)
-    seen: dict[tuple[int, int], int] = {}
-    for p, test, size in sorted(hits):
-        line = (p - test, index.owner[test])
-        if seen.get(line, -1) >= p + size:
-            continue  # within a longer match on the same diagonal
-        length = size
-        while train[p + length] and train[p + length] == index.seq[test + length]:
-            length += 1
-        seen[line] = p + length
-        doc = int(np.searchsorted(edges, p, "right")) - 1
-        found[doc].append((p - bounds[doc], length, index.items[index.owner[test]], index.offset[test]))
+    train, edges = np.array(ids, dtype=np.int64), np.array(bounds)
+    mine = np.array([vocab.get(w, -1) for w in bench.vocab], np.int64)[bench.seq] if len(bench.seq) else bench.seq
+    array = suffix_array(train, bench.window) if len(bench.seq) and len(train) else train
+    places, tests, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(bench.sizes).tolist():
+        starts = bench.starts[bench.sizes == size]
+        for at in range(0, len(starts), QUERIES):
+            part = starts[at : at + QUERIES]
+            queries = mine[part[:, None] + np.arange(size)]
+            here = (queries > 0).all(axis=1)  # a word that the shard lacks ends the search before it starts
+            low, high = occurrences(train, array, queries[here])
+            many = high - low
+            places.append(array[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+            tests.append(np.repeat(part[here], many))
+            sizes.append(np.repeat(size, many.sum()))
+    p, t, z = np.concatenate(places), np.concatenate(tests), np.concatenate(sizes)
+    if not len(p):
+        return counts, found
+    own = bench.owner[t]
+    order = np.lexsort((p, p - t, own))
+    p, t, z, own = p[order], t[order], z[order], own[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | ((p - t)[1:] != (p - t)[:-1]) | (p[1:] != p[:-1] + 1)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1
+    doc = np.searchsorted(edges, p[first], "right") - 1
+    for d, start, length, item, off in zip(doc.tolist(), (p[first] - edges[doc]).tolist(), (p[last] - p[first] + z[first]).tolist(), own[first].tolist(), bench.offset[t[first]].tolist(), strict=True):
+        found[d].append((start, length, bench.items[item], off))
     return counts, found
 
 
@@ -168,9 +157,31 @@ def covered(matches: list[tuple[int, int, str, int]]) -> int:
     return total
 
 
+_MATCHES = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))
+_FIELDS = ("start", "length", "item", "item_start")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text: str, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows of a batch and their texts, cut so that a shard has about shard_words words; one text is never cut."""
+    for batch in batches:
+        column, at = batch.column(batch.schema.get_field_index(text)), 0
+        while at < len(column):
+            end, chars, shard = at, 0, []
+            while end < len(column) and chars < 6 * shard_words:
+                shard.append(column[end].as_py())
+                chars += len(shard[-1] or "")
+                end += 1
+            yield batch.slice(at, end - at), shard
+            at = end
+
+
+def _listed(found: list[list[tuple[int, int, str, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(_FIELDS, m, strict=True)) for m in sorted(f)] for f in found], _MATCHES)
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10,
-    block_bytes: int = 8_000_000, shard_words: int = 2_000_000,
+    block_bytes: int = 32_000_000, shard_words: int = 1_000_000,
 ) -> DataFrame:
     """docs with n_words, matches, hit_words and items (ids as strings, sorted).
 
@@ -181,52 +192,46 @@ def find_overlaps(
     docs = docs.drop("n_words", "matches", "hit_words", "items")
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    names = [*docs.columns]
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        shipped = docs.sparkSession.sparkContext.broadcast(sorted((r.i, r.t) for r in part.collect()))
-        docs = docs.mapInArrow(_searcher(shipped, names, text, window, shard_words, first=b == 0), _with_fields(docs, names, schema))
-        if b + 1 < blocks:
-            docs = settle(docs)
-    return docs
-
-
-def _with_fields(docs: DataFrame, names: list[str], schema: str):
-    from pyspark.sql.types import StructType
+    blocks = max(1, -(-total // block_bytes))  # an item is shipped whole
+    ship = lambda b: docs.sparkSession.sparkContext.broadcast(sorted((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()))
+    if blocks == 1:
+        schema = StructType([*docs.schema.fields, *StructType.fromDDL(HIT_FIELDS).fields])
+        return docs.mapInArrow(_searcher(ship(0), docs.columns, text, window, shard_words), schema)
+    key = F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")))
+    narrow = docs.select(key.alias("_key"), F.col(text).alias("_text")).where("_text is not null")
+    kind = StructType([StructField("_key", StringType()), StructType.fromDDL(HIT_FIELDS)["matches"]])
+    parts = [settle(narrow.mapInArrow(_matcher(ship(b), window, shard_words), kind).dropDuplicates(["_key"])) for b in range(blocks)]
+    met = union_all(parts).groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    none = F.array().cast(kind["matches"].dataType)
+    names = docs.columns
+    rows = docs.withColumn("_key", key).join(met, "_key", "left").withColumn("matches", F.coalesce("matches", none))
+    folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    step = lambda acc, m: F.struct((acc["n"] + F.greatest(F.lit(0), m["start"] + m["length"] - F.greatest(m["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], m["start"] + m["length"]).alias("end"))
+    hit = F.aggregate("matches", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
+    return rows.select(*names, F.regexp_count(folded, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), "matches", hit.alias("hit_words"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("items"))
+
+
+def _searcher(shipped, names: list[str], text: str, window: int, shard_words: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(shipped.value, window)
+        for rows, shard in _shards(batches, text, shard_words):
+            counts, found = shard_matches(bench, shard)
+            made = [pa.array(counts, pa.int64()), _listed(found), pa.array([covered(f) for f in found], pa.int64()), pa.array([sorted({m[2] for m in f}) for f in found], pa.list_(pa.string()))]
+            kept = [rows.column(rows.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(kept + made, names=[*names, "n_words", "matches", "hit_words", "items"])
 
-    return StructType([docs.schema[n] for n in names] + StructType.fromDDL(HIT_FIELDS).fields)
+    return search
 
 
-def _searcher(shipped, names: list[str], text: str, window: int, shard_words: int, first: bool):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))
+def _matcher(shipped, window: int, shard_words: int):
+    """(key, matches) of the texts that have any."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TestIndex(shipped.value, window)
-        for batch in batches:
-            texts, at = batch.column(batch.schema.get_field_index(text)), 0
-            while at < len(texts):
-                end, chars = at, 0
-                shard = []
-                while end < len(texts) and (chars < 6 * shard_words):
-                    shard.append(texts[end].as_py())
-                    chars += len(shard[-1] or "")
-                    end += 1
-                counts, found = shard_matches(index, shard)
-                rows = batch.slice(at, end - at)
-                if not first:
-                    for new, old in zip(found, rows.column(rows.schema.get_field_index("matches")).to_pylist(), strict=True):
-                        new += [(m["start"], m["length"], m["item"], m["item_start"]) for m in old]
-                made = [
-                    pa.array(counts, pa.int64()),
-                    pa.array([[dict(zip(("start", "length", "item", "item_start"), m, strict=True)) for m in sorted(f)] for f in found], kind),
-                    pa.array([covered(f) for f in found], pa.int64()),
-                    pa.array([sorted({m[2] for m in f}) for f in found], pa.list_(pa.string())),
-                ]
-                kept = [rows.column(rows.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays(kept + made, names=[*names, "n_words", "matches", "hit_words", "items"])
-                at = end
+        bench = Benchmark(shipped.value, window)
+        for rows, shard in _shards(batches, "_text", shard_words):
+            _, found = shard_matches(bench, shard)
+            at = [i for i, f in enumerate(found) if f]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), _listed([found[i] for i in at])], names=["_key", "matches"])
 
     return search
 
@@ -236,7 +241,7 @@ def contaminated(min_hit_words: int = 1) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that share a window with the benchmark, in their own columns."""
+    """docs without those that share a window with the benchmark, in their own columns; null and empty texts stay, as do repeated rows."""
     rows, aside = set_aside(docs, ["n_words", "matches", "hit_words", "items"])
     return brought_back(find_overlaps(rows, benchmark, **options).where(~contaminated()), docs.columns, aside)
 
@@ -246,8 +251,7 @@ def digest_of(items: list[str]) -> str:
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from evispan.llm.common import read_table
-
+    """Every document's words, hit words and items; nulls, empty texts and repeated rows as in find_overlaps()."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select(

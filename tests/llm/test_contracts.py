@@ -563,3 +563,21 @@ def test_own_repeats_are_no_passages(spark):
     core, own = make(60), make(70)
     got = summary(spark, [(1, " ".join(core + make(20) + own + make(20) + own)), (2, " ".join(make(30) + core + make(9)))])
     assert covered(got[1]) == set(range(60)) and covered(got[2]) == set(range(30, 90))
+
+
+def test_suffix_array_and_binary_search():
+    rng = np.random.default_rng(30)
+    for most in (3, 40, 1 << 22):
+        train = rng.integers(1, most, 300)
+        train[rng.integers(0, 300, 5)] = 0
+        array = decontaminate.suffix_array(train, 10)
+        rows = [tuple(train[i : i + 10]) for i in range(300)]
+        key = lambda i: rows[i] + (0,) * (10 - len(rows[i]))
+        assert sorted(array.tolist()) == list(range(300)) and [key(i) for i in array] == sorted(map(key, range(300)))
+        for size in (1, 2, 10):
+            at = rng.integers(0, 290, 50)
+            queries = train[at[:, None] + np.arange(size)]
+            queries[:5, -1] = most + 7
+            low, high = decontaminate.occurrences(train, array, queries)
+            for q, a, b in zip(queries.tolist(), low, high, strict=True):
+                assert sorted(array[a:b].tolist()) == [i for i in range(300) if list(key(i)[:size]) == q]
