@@ -515,7 +515,7 @@ def test_every_occurrence_of_a_passage_counts(spark):
 
 def test_places_are_crossed_or_tiled():
     place = np.array([3, 10, 12, *range(0, 200, 10), *range(5, 90, 10)], np.int64)
-    got = np.concatenate(list(passages._crossed(np.array([0, 1]), np.array([1, 2]), np.array([7, 8, 9]), place, np.array([0, 3, 23]), np.array([3, 20, 9]))), axis=1)
+    got = np.concatenate(list(passages._crossed(np.array([0, 1]), np.array([1, 2]), np.array([7, 8, 9]), (place, np.arange(32), np.zeros(32, np.int64)), np.array([0, 3, 23]), np.array([3, 20, 9]))), axis=1)
     assert {(x, y) for a, _, x, y in got.T.tolist() if a == 7} == {(x, y) for x in (3, 10, 12) for y in range(0, 200, 10)}
     tiles = {(x, y) for a, _, x, y in got.T.tolist() if a == 8}
     assert {x for x, _ in tiles} == set(range(0, 200, 10)) and {y for _, y in tiles} == set(range(5, 90, 10)) and len(tiles) <= 40
@@ -565,6 +565,54 @@ def test_own_repeats_are_no_passages(spark):
     assert covered(got[1]) == set(range(60)) and covered(got[2]) == set(range(30, 90))
 
 
+def test_every_place_of_a_verbatim_passage_counts(spark):
+    """Whichever text has it twice, and whichever task that text is in."""
+    rng = random.Random(27)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for twice in (1, 2):
+        core = make(100)
+        rows = {twice: " ".join(make(10) + core + make(30) + core), 3 - twice: " ".join(make(25) + core + make(9))}
+        got = summary(spark, [(i, rows[i]) for i in (1, 2)] + [(10 + i, " ".join(make(40))) for i in range(8)])
+        assert covered(got[twice]) >= set(range(10, 110)) | set(range(140, 240)) and covered(got[3 - twice]) >= set(range(25, 125))
+        assert len(covered(got[twice])) < 206 and got[twice]["n_links"] == 1
+
+
+def test_seeds_of_one_word_are_thinned():
+    words = np.array([1, 2, 3, 4, 5, 6, 7, 7, 7, 7, 7, 7, 7, 8, 9, 10] + [11] * 40 + [12, 13], np.uint64)
+    at = np.arange(len(words) - passages.K + 1)
+    got = set(at[passages.thinned(words, at)].tolist())
+    run = set(range(6, 9)) | set(range(16, 52))
+    assert got - run == set(at.tolist()) - run and got & run == {6, *range(16, 52, passages.K)}
+    assert passages.thinned(words[:16], np.arange(12)).tolist() == [True] * 6 + [False] * 3 + [True] * 3
+
+
+def test_verbatim_recall_against_brute_force(spark):
+    """Every two texts with 50 equal words in a row are in one class, and those words are in their passages."""
+    rng = random.Random(28)
+    make = lambda n, most=60: [f"w{rng.randrange(most)}" for _ in range(n)]
+    plate, tail = make(45, 10**6), make(15, 10**6)
+    texts_ = [make(rng.randrange(5, 40)) + plate + (tail if k < 2 else []) + make(20, 10**6) for k in range(30)]
+    texts_ += [["to"] * rng.randrange(1, 90) + make(rng.randrange(30), 10**6) for _ in range(30)]
+    texts_ += [(make(7, 10**6) * 12)[: rng.randrange(20, 84)] for _ in range(5)]
+    texts_ += [t[: rng.randrange(len(t))] + make(5, 10**6) for t in texts_[-5:]]
+    pool = [make(rng.choice((49, 50, 51, 70)), 10**6) for _ in range(10)]
+    texts_ += [sum((make(rng.randrange(1, 30), 10**6) + rng.choice(pool) for _ in range(3)), []) for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts_)]
+    got = summary(spark, rows)
+    where: dict = {}
+    for i, t in enumerate(texts_):
+        for k in range(len(t) - 49):
+            where.setdefault(tuple(t[k : k + 50]), []).append((i, k))
+    root = list(range(len(rows)))
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                assert set(range(k, k + 50)) <= covered(got[i]) or rows[i][1] in {rows[j][1] for j, _ in places if j != i}
+            low = min(root[i] for i, _ in places)
+            root = [low if r in {root[i] for i, _ in places} else r for r in root]
+    assert all(got[i]["class_id"] == got[j]["class_id"] for i in range(len(rows)) for j in range(i) if root[i] == root[j])
+
+
 def test_suffix_array_and_binary_search():
     rng = np.random.default_rng(30)
     for most in (3, 40, 1 << 22):
