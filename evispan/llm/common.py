@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,58 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+#: Numbers that a task gathers before it deals them out, and buckets for each shuffle partition.
+GATHERED, FINE = 1 << 21, 16
+PACKED = "bucket int, data binary"
+
+
+def dealt(blocks: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED from (hash, rows) blocks of unsigned numbers and of equally many rows of 64-bit numbers.
+
+    A row of PACKED has all rows of one bucket that were gathered together, so what moves between
+    the JVM and Python is a few long values and not a row for each.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        where = np.concatenate([h for h, _ in held]) % np.uint64(buckets)
+        order = np.argsort(where.astype(np.int32), kind="stable")
+        where, rows = where[order], np.concatenate([r for _, r in held])[order]
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+        data = [rows[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(where)], strict=True)] if len(where) else []
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(where[first].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    size = 0
+    for block in blocks:
+        held.append(block)
+        size += block[1].size
+        if size >= GATHERED:
+            yield out()
+            size = 0
+    if held:
+        yield out()
+
+
+def gathered(packed: DataFrame) -> DataFrame:
+    """PACKED rows dealt by their bucket, a bucket's rows side by side."""
+    return packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """The rows of `width` numbers of each bucket, from gathered() rows; memory holds one bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != now and held:
+                yield np.concatenate(held)
+                held = []
+            now = bucket
+            held.append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, width))
+    if held:
+        yield np.concatenate(held)
+
+
 def lowest(rows: DataFrame, count: int, most: int, by: str = "_h") -> list[Row]:
     """The `most` rows lowest in a seeded() column, of `count` in all; the driver gets about that many, not as many from each task."""
     if count <= most:

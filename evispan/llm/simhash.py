@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evispan.llm.common import brought_back, connected_components, partitions, read_table, set_aside, settle
+from evispan.llm.common import FINE, PACKED, brought_back, connected_components, dealt, gathered, partitions, read_table, set_aside, settle, unpacked
 
 BITS = 63
 LIMIT = 2
@@ -250,21 +250,31 @@ def block_anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([own, off, np.repeat(off, far.shape[1])]), np.concatenate([block[own], near, far.ravel()])
 
 
-def _anchor_rows(hot: np.ndarray):
-    """(anchor, salt, s0, s1) from (l0 .. l7); an anchor's high bits have its block's number, the salt is 0 but at hot anchors."""
+def _anchor_blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, s0, s1) from (l0 .. l7); an anchor has its block's number above its 31 bits and, at hot anchors, a salt above that."""
+    for batch in batches:
+        lanes = [c.to_numpy().view(np.uint64) for c in batch.columns]
+        for k in range(2 * (LANES - SKETCH)):
+            block = (lanes[SKETCH + k // 2] >> np.uint64(32 * (k % 2))) & np.uint64((1 << BLOCK_BITS) - 1)
+            row, anchor = block_anchors(block)
+            anchor = anchor | np.uint64(k << 32)
+            s0, s1 = lanes[0][row], lanes[1][row]
+            if len(hot):
+                anchor = np.where(np.isin(anchor, hot), anchor | ((_mixed(s0 ^ s1) % np.uint64(SALTS) + np.uint64(1)) << np.uint64(40)), anchor)
+            yield anchor, s0, s1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lanes = [c.to_numpy().view(np.uint64) for c in batch.columns]
-            for k in range(2 * (LANES - SKETCH)):
-                block = (lanes[SKETCH + k // 2] >> np.uint64(32 * (k % 2))) & np.uint64((1 << BLOCK_BITS) - 1)
-                row, anchor = block_anchors(block)
-                anchor = anchor | np.uint64(k << 32)
-                s0, s1 = lanes[0][row], lanes[1][row]
-                salt = np.where(np.isin(anchor, hot), (_mixed(s0 ^ s1) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(salt), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], names=["anchor", "salt", "s0", "s1"])
 
-    return run
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _anchor_blocks(batches, np.zeros(0, np.uint64)):
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in block], names=["anchor", "s0", "s1"])
+
+
+def _dealt_anchors(hot: np.ndarray, buckets: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for anchor, s0, s1 in _anchor_blocks(batches, hot):
+            yield _mixed(anchor) >> np.uint64(20), np.stack([anchor, s0, s1], axis=1).view(np.int64)
+
+    return lambda batches: dealt(blocks(batches), buckets)
 
 
 def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -307,54 +317,34 @@ def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def _sketch_compare(pivots: dict[int, tuple[int, int]], limit: int):
-    """Links (a, b) of 16 bytes each among rows sorted by (anchor, salt); hot anchors' runs are led by their pivot."""
+    """Links (a, b) of 16 bytes each from buckets of (anchor, s0, s1); hot anchors' runs are led by their pivot."""
 
-    def linked(rows: list[np.ndarray]) -> list[np.ndarray]:
-        anchor, salt, s = rows[0], rows[1], np.stack(rows[2:], axis=1).view(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
+    def linked(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        anchor, s = rows[:, 0], rows[:, 1:].view(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         size = np.diff(np.append(first, len(anchor)))
         twos = first[size == 2]
         close = twos[np.bitwise_count(s[twos] ^ s[twos + 1]).sum(axis=1) <= limit]
         out = [np.concatenate([s[close], s[close + 1]], axis=1)]
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            run = s[at : at + n]
-            if int(anchor[at]) in pivots:
-                run = np.concatenate([np.array([pivots[int(anchor[at])]], np.int64).view(np.uint64), run])
+            run, pivot = s[at : at + n], pivots.get(int(anchor[at]) & ((1 << 40) - 1))
+            if pivot:
+                run = np.concatenate([np.array([pivot], np.int64).view(np.uint64), run])
             if got := sketch_links(run, limit):
                 i, j = np.array(got).T
                 out.append(np.concatenate([run[i], run[j]], axis=1))
-        return out
+        return np.unique(np.concatenate(out), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in _and_none(batches):
-            if batch is not None:
-                cols = [c.to_numpy() for c in batch.columns]
-                if not len(cols[0]):
-                    continue
-                back = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-                cut = int(back[-1]) + 1 if len(back) else 0
-                if not cut and held and held[0][0][0] == cols[0][0] and held[0][1][0] == cols[1][0]:
-                    held.append(cols)
-                    continue
-                done, rest = [*held, [c[:cut] for c in cols]], [[c[cut:] for c in cols]]
-            else:
-                done, rest = held, []
-            held = rest
-            if not done:
-                continue
-            pairs = np.unique(np.concatenate(linked([np.concatenate(c) for c in zip(*done, strict=True)])), axis=0) if sum(len(d[0]) for d in done) else np.zeros((0, 2 * SKETCH), np.uint64)
-            sides = [pa.array([bytes(x) for x in np.ascontiguousarray(side)], pa.binary()) for side in (pairs[:, :SKETCH], pairs[:, SKETCH:])]
+        for rows in unpacked(batches, 1 + SKETCH):
+            pairs = linked(rows)
+            sides = [pa.array([x.tobytes() for x in np.ascontiguousarray(side)], pa.binary()) for side in (pairs[:, :SKETCH], pairs[:, SKETCH:])]
             yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
 
     return run
 
 
-def _and_none(batches):
-    yield from batches
-    yield None
-
-
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, limit: int = NEAR_LIMIT, hot: int = HOT) -> DataFrame:
     """(rk, doc_id, root): one row per row of docs; rk names the row's id and text, root its group of near copies.
 
@@ -369,12 +359,11 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     marked = settle(_with_wide(rows, shingle))
     node = lambda: F.concat(*[_bytes(F.col(c)) for c in _WIDE[:SKETCH]])
     fps = settle(marked.groupBy(*_WIDE[:SKETCH]).agg(*[F.min(c).alias(c) for c in _WIDE[SKETCH:]]))
-    rows_of = "anchor long, salt int, s0 long, s1 long"
-    some = fps.where(F.pmod(F.xxhash64("l0", "l1"), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows(np.zeros(0, np.uint64)), rows_of)
+    some = fps.where(F.pmod(F.xxhash64("l0", "l1"), F.lit(SAMPLE)) == 0).select(*_WIDE).mapInArrow(_anchor_rows, "anchor long, s0 long, s1 long")
     busy = some.groupBy("anchor").agg(F.count("*").alias("c"), F.min(F.struct("s0", "s1")).alias("p")).where(F.col("c") >= max(2, hot // SAMPLE))
     pivots = {r["anchor"]: (r["p"]["s0"], r["p"]["s1"]) for r in busy.collect()}  # each has hot / SAMPLE rows of the sample
-    spread = fps.select(*_WIDE).mapInArrow(_anchor_rows(np.array(sorted(pivots), np.int64).view(np.uint64)), rows_of)
-    links = spread.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sketch_compare(pivots, limit), "a binary, b binary")
+    spread = fps.select(*_WIDE).mapInArrow(_dealt_anchors(np.array(sorted(pivots), np.int64).view(np.uint64), FINE * n), PACKED)
+    links = gathered(spread).mapInArrow(_sketch_compare(pivots, limit), "a binary, b binary")
     roots = connected_components(links.distinct())
     named = marked.select("rk", "doc_id", node().alias("node"))
     return named.join(roots, "node", "left").select("rk", "doc_id", F.coalesce("root", "node").alias("root"))
