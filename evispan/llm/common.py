@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,23 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the next time; looked up without a Python call for a word seen before."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of a text's words, A-Z lower-cased."""
+        words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+        if len(self) > self.MOST:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 #: Numbers that a task gathers before it deals them out, and buckets for each shuffle partition.
 GATHERED, FINE = 1 << 21, 16
 PACKED = "bucket int, data binary"

@@ -108,14 +108,22 @@ def occurrences(train: np.ndarray, array: np.ndarray, queries: np.ndarray) -> tu
 QUERIES = 50_000
 
 
+class _Numbers(dict):
+    """Words numbered from 1 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def shard_matches(bench: Benchmark, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int, str, int]]]]:
     """Words of each text, and its longest matches (start, length, item, start in the item)."""
-    vocab: dict[bytes, int] = {}
+    vocab = _Numbers()
     ids, bounds, counts = [], [0], []
     for t in texts:
         w = words(t)
         counts.append(len(w))
-        ids += [vocab.setdefault(x, len(vocab) + 1) for x in w]
+        ids += map(vocab.__getitem__, w)
         ids.append(0)
         bounds.append(len(ids))
     found: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]

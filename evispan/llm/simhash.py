@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evispan.llm.common import FINE, PACKED, brought_back, connected_components, dealt, gathered, partitions, read_table, set_aside, settle, unpacked
+from evispan.llm.common import FINE, PACKED, WordHashes, brought_back, connected_components, dealt, gathered, partitions, read_table, set_aside, settle, unpacked
 
 BITS = 63
 LIMIT = 2
@@ -201,15 +201,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, known: dict[bytes, int]) -> np.ndarray:
+def wide_fingerprint(text: str | None, shingle: int, known: WordHashes) -> np.ndarray:
     """LANES numbers of 64 bits, each bit the majority of that bit among the hashes of the text's different word shingles; no words: zeros."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    one = known.of(text)
+    if not len(one):
         return np.zeros(LANES, np.uint64)
-    if len(known) > 500_000:
-        known.clear()
-    ids = [known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in words]
-    one = np.array(ids, dtype=np.uint64)
     size = min(shingle, len(one))
     h = np.zeros(len(one) - size + 1, np.uint64)
     for i in range(size):
@@ -230,7 +226,7 @@ def _with_wide(docs: DataFrame, shingle: int) -> DataFrame:
     """rk, the kept columns and the lanes of docs (rk, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for batch in batches:
             found = np.array([wide_fingerprint(t.as_py(), shingle, known) for t in batch.column(2)], np.uint64).reshape(-1, LANES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(LANES))], names=["rk", "doc_id", *_WIDE])
