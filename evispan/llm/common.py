@@ -70,7 +70,7 @@ def seeded(seed: str, *cols: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next time; looked up without a Python call for a word seen before."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
