@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -10,7 +11,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,21 +67,88 @@ def seeded(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the next time; looked up without a Python call for a word seen before."""
+_BASE = 0x9E3779B97F4A7C15 | 5
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A value for each byte, A-Z having those of a-z.
+_VALUE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE[65:91] = _VALUE[97:123]
+_powers: list[np.ndarray] = []
+BLOCK_BYTES = 1 << 19
 
-    MOST = 200_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values times powers of an odd base, up to each place."""
+    if not _powers or len(_powers[0]) < len(values):
+        n = max(1 << 16, 2 * len(values))
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers[0][: len(values)], dtype=np.uint64)])
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of a text's words, A-Z lower-cased."""
-        words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-        if len(self) > self.MOST:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def stretch_hashes(total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches from each start to its stop, as differences of prefix sums brought to one power."""
+    h = (total[stops] - total[starts]) * _powers[1][starts]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text of a string column, A-Z lower-cased; null has none.
+
+    The column's bytes are hashed in blocks of whole texts; a text longer than a block in pieces
+    cut at white space, so memory doesn't grow with a text's length but for its words.
+    """
+    large = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        low, high = int(offsets[at]), int(offsets[end])
+        if end == at + 1 and high - low > BLOCK_BYTES:
+            yield _long_text(data[low:high])
+        else:
+            starts, found = _hashed(data[low:high], offsets[at:end] - low)
+            cuts = np.searchsorted(starts, offsets[at + 1 : end] - low)
+            yield from np.split(found, cuts)
+        at = end
+
+
+def _hashed(data: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of some bytes; a word ends before the places in `fresh` as well."""
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    fresh = fresh[fresh < len(data)]
+    begins[fresh] = inside[fresh]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    last = fresh[fresh > 0] - 1
+    ends[last] = inside[last]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return starts, stretch_hashes(prefix_sums(_VALUE[data]), starts, stops)
+
+
+def _long_text(data: np.ndarray) -> np.ndarray:
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and not (space := np.flatnonzero(_SPACE[data[at:end]])).size:
+            end = min(len(data), end + BLOCK_BYTES)  # a word longer than a block
+        if end < len(data):
+            end = at + int(space[-1]) + 1
+        out.append(_hashed(data[at:end], np.zeros(0, np.int64))[1])
+        at = end
+    return np.concatenate(out)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer in use; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Numbers that a task gathers before it deals them out, and buckets for each shuffle partition.

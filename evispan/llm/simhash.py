@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evispan.llm.common import FINE, PACKED, WordHashes, brought_back, connected_components, dealt, gathered, partitions, read_table, set_aside, settle, unpacked
+from evispan.llm.common import FINE, PACKED, brought_back, connected_components, dealt, gathered, partitions, read_table, set_aside, settle, unpacked, word_hashes
 
 BITS = 63
 LIMIT = 2
@@ -201,9 +201,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, known: WordHashes) -> np.ndarray:
-    """LANES numbers of 64 bits, each bit the majority of that bit among the hashes of the text's different word shingles; no words: zeros."""
-    one = known.of(text)
+def wide_fingerprint(one: np.ndarray, shingle: int) -> np.ndarray:
+    """LANES numbers of 64 bits, each bit the majority of that bit among the hashes of the different shingles of a text's word_hashes(); no words: zeros."""
     if not len(one):
         return np.zeros(LANES, np.uint64)
     size = min(shingle, len(one))
@@ -226,9 +225,8 @@ def _with_wide(docs: DataFrame, shingle: int) -> DataFrame:
     """rk, the kept columns and the lanes of docs (rk, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle, known) for t in batch.column(2)], np.uint64).reshape(-1, LANES)
+            found = np.array([wide_fingerprint(words, shingle) for words in word_hashes(batch.column(2))], np.uint64).reshape(-1, LANES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(LANES))], names=["rk", "doc_id", *_WIDE])
 
     return docs.mapInArrow(run, StructType([docs.schema["rk"], docs.schema["doc_id"], *(StructField(n, LongType()) for n in _WIDE)]))

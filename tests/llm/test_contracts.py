@@ -629,3 +629,21 @@ def test_suffix_array_and_binary_search():
             low, high = decontaminate.occurrences(train, array, queries)
             for q, a, b in zip(queries.tolist(), low, high, strict=True):
                 assert sorted(array[a:b].tolist()) == [i for i in range(300) if list(key(i)[:size]) == q]
+
+
+def test_word_hashes_of_a_column(monkeypatch):
+    import pyarrow as pa
+
+    from evispan.llm import common
+
+    texts_ = [None, "", " a ", "Ab cD", "ab", "x" * 300, "é É ab", "ab cd " * 100, "cd", "\t\x0bAB\ncd\r", "tail"]
+    whole = list(common.word_hashes(pa.array(texts_)))
+    assert [len(h) for h in whole] == [len(words(t)) for t in texts_]
+    known = {}
+    for t, h in zip(texts_, whole, strict=True):
+        for w, x in zip(words((t or "").translate(FOLD)), h.tolist(), strict=True):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 16)
+    for column in (pa.array(texts_), pa.array(["zz", *texts_])[1:], pa.array(texts_, pa.large_string())):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, common.word_hashes(column), strict=True))
