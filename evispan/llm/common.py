@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -145,12 +144,6 @@ def _long_text(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer in use; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Numbers that a task gathers before it deals them out, and buckets for each shuffle partition.
 GATHERED, FINE = 1 << 21, 16
 PACKED = "bucket int, data binary"
