@@ -145,7 +145,7 @@ def _long_text(data: np.ndarray) -> np.ndarray:
 
 
 #: Numbers that a task gathers before it deals them out, and buckets for each shuffle partition.
-GATHERED, FINE = 1 << 21, 16
+GATHERED, FINE = 1 << 21, 4
 PACKED = "bucket int, data binary"
 
 
