@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,16 +88,31 @@ def cdc_gear(text: str, low: int = 32, average: int = 64, high: int = 128, prefi
     """Content-defined chunks: a rolling hash over UTF-8 bytes, cut at whole code points between the limits."""
     if not 0 < low <= average <= high:
         raise ValueError("limits must rise")
-    table, full = gear_table(prefix), (1 << 64) - 1
-    mask = (1 << max(1, round(math.log2(average)))) - 1
-    out, start, h = [], 0, 0
-    for i, c in enumerate(text, 1):
-        for b in c.encode("utf-8", "surrogatepass"):
-            h = (2 * h + table[b]) & full
-        if i - start >= high or (i - start >= low and not h & mask):
-            out.append((start, i))
-            start, h = i, 0
-    return [*out, (start, len(text))] if start < len(text) else out
+    bits = max(1, round(math.log2(average)))
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    # the low bits of the rolling sum hang on the last `bits` bytes alone, so all places are summed at once
+    gear = np.array([g & ((1 << bits) - 1) for g in gear_table(prefix)], np.int64)[data]
+    rolled = np.zeros(len(data), np.int64)
+    for k in range(min(bits, len(data))):
+        rolled[k:] += gear[: len(data) - k] << k
+    last_byte = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True)) if len(data) else np.zeros(0, np.int64)
+    hits = np.flatnonzero(rolled[last_byte] & ((1 << bits) - 1) == 0) + 1  # ends of characters that may be cuts
+    out, start = [], 0
+    while start < len(text):
+        far = start + max(low, bits)  # fewer bytes than bits after a cut: the sum has begun anew
+        early = [i for i in range(start + low, min(far, len(text) + 1)) if _restarted(gear, last_byte, start, i, bits)]
+        k = int(np.searchsorted(hits, far))
+        end = early[0] if early else min(int(hits[k]) if k < len(hits) else len(text), start + high, len(text))
+        end = min(end, start + high)
+        out.append((start, end))
+        start = end
+    return out
+
+
+def _restarted(gear: np.ndarray, last_byte: np.ndarray, start: int, stop: int, bits: int) -> bool:
+    """Whether the sum over the bytes of the characters from start to stop alone is a cut."""
+    own = gear[(last_byte[start - 1] + 1 if start else 0) : last_byte[stop - 1] + 1][::-1][:bits]
+    return int(sum(int(g) << k for k, g in enumerate(own.tolist()))) & ((1 << bits) - 1) == 0
 
 
 def lexical_tiling(text: str, threshold: float = 0.22, reach: int = 100) -> Spans:
@@ -126,32 +142,29 @@ def tfidf_change_point(text: str, threshold: float = 0.32) -> Spans:
     return _closed(text, [units[k][1] for k, s in enumerate(sims) if s <= threshold or (s < 0.5 and s < around[k] and s < around[k + 2])])
 
 
-#: How strongly a cut's surroundings speak for it.
-STRUCTURE = [("blank", 1.0), (".!?", 0.85), (";", 0.65), (":", 0.20), (",", 0.10)]
+#: How strongly the mark before a cut speaks for it; a blank line does with 1.
+STRUCTURE = {".": 0.85, "!": 0.85, "?": 0.85, ";": 0.65, ":": 0.20, ",": 0.10}
 
 
 def boundary_strength(text: str, at: int, reach: int = 90) -> float:
-    if at <= 0 or at >= len(text):
+    """From 0 to 1.5: change of vocabulary over the cut, and a blank line within two characters or the last mark of the four before."""
+    if not 0 < at < len(text):
         return 1.0
-    before = text[max(0, at - 8) : at]
-    bare = before.rstrip().rstrip("\"')]")
-    s = 0.0
-    if re.search(r"\n\s*\n\s*$", before):
-        s = 1.0
-    elif bare and before != before.rstrip():
-        s = next((v for chars, v in STRUCTURE[1:] if bare[-1] in chars), 0.0)
-    return min(1.5, 0.72 * (1 - bag_cosine(text[max(0, at - reach) : at], text[at : at + reach])) + 0.55 * s)
+    blank = "\n\n" in text[max(0, at - 2) : at + 2]
+    mark = text[max(0, at - 4) : at].rstrip()[-1:]
+    change = 1 - bag_cosine(text[max(0, at - reach) : at], text[at : at + reach])
+    return min(1.5, 0.72 * change + 0.55 * (1.0 if blank else STRUCTURE.get(mark, 0.0)))
 
 
 def candidate_cuts(text: str, target: int) -> list[int]:
-    """Structural cuts, and word starts where the last cut is far enough back."""
-    strong = {m.end() for m in re.finditer(r"""\n\s*\n+|[.!?;]["')\]]*\s+""", text)}
-    out, last, least = [], 0, max(16, target // 3)
+    """Structural cuts, and word starts each far enough from the word start taken before."""
+    least, last = max(16, target // 3), 0
+    cuts = {m.end() for m in re.finditer(r"""\n\s*\n|[.!?;]["')\]]*\s+""", text)}
     for m in re.finditer(r"\s+", text):
-        if m.end() in strong or m.end() - last >= least:
-            out.append(m.end())
+        if m.end() - last >= least:
             last = m.end()
-    return sorted({c for c in strong | set(out) if 0 < c < len(text)})
+            cuts.add(last)
+    return sorted(c for c in cuts if 0 < c < len(text))
 
 
 def boundary_dp(text: str, target: int = 64, low: int = 20, high: int = 140, collision: float = 1.0, metadata: float = 0.18, weak: float = 0.55, mass: Callable[[int, int], float] | None = None) -> Spans:
@@ -180,7 +193,8 @@ def boundary_dp(text: str, target: int = 64, low: int = 20, high: int = 140, col
             if cost < best[j]:
                 best[j], back[j] = cost, i
     if best[-1] == math.inf:
-        return [(a, min(a + target, len(text))) for a in range(0, len(text), target)]
+        step = max(low, target)
+        return [(a, min(a + step, len(text))) for a in range(0, len(text), step)]
     out, j = [], len(edges) - 1
     while j > 0:
         out.append((edges[back[j]], edges[j]))

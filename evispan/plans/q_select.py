@@ -83,7 +83,7 @@ def _greedy(policy: str, budget: int = BUDGET):
 
 QUERIES |= {f"select_{p}": _greedy(p) for p in ("mmr", "mmr_per_cost", "singleton", "iterative", "bundle", "similarity_bundle")}
 ORACLES["select_mmr"] = LOOP.replace("{more}", f"{COVERS}, {SIMS}").replace("{value}", f"0.7 * u.rel - 0.3 * {BEST_SIM}").replace("{tie}", "u.pos")
-ORACLES["select_mmr_per_cost"] = LOOP.replace("{more}", f"{COVERS}, {SIMS}").replace("{value}", f"(0.7 * u.rel - 0.3 * {BEST_SIM}) / pow(u.tokens, 0.25)").replace("{tie}", "u.tokens, u.pos")
+ORACLES["select_mmr_per_cost"] = LOOP.replace("{more}", f"{COVERS}, {SIMS}").replace("{value}", f"(0.7 * u.rel - 0.3 * {BEST_SIM}) / sqrt(u.tokens)").replace("{tie}", "u.tokens, u.pos")
 MENTIONS = r"""mt AS (SELECT job_id, pos, array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}'), ' ') AS t, array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}'), '') AS tj,
               ' ' || array_to_string(regexp_extract_all(lower(title || chr(10) || text), '[\p{L}\p{N}_]{2,}'), ' ') || ' ' AS b FROM docs),
 mg AS (SELECT DISTINCT a.job_id, a.pos AS i, b.pos AS j FROM mt a JOIN mt b ON a.job_id = b.job_id AND a.pos <> b.pos AND length(a.tj) >= 4 AND contains(b.b, ' ' || a.t || ' ')),

@@ -1,5 +1,8 @@
 """Intervals, segments, graphs, snapshots, statistics and decisions on authored rows."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -97,7 +100,7 @@ def test_snapshot_advance(spark):
     assert {(r["id"], r["change"]) for r in moved.collect()} == {(4, "removed"), (99, "added")}
     done = snapshot.advance(new, plan, snapshot.issue(old, plan), moved, old.identity)
     assert [i for i, _ in done.selected] == exact
-    assert snapshot.advance(new, plan, snapshot.issue(old, plan), moved, old.identity, complete=False).reason == "provenance_or_plan_fallback"
+    assert snapshot.advance(new, plan, snapshot.issue(old, plan), moved, old.identity, complete=False).reason == "not_comparable"
     kept = snapshot.issue(new, plan)
     assert snapshot.advance(new, plan, kept, moved, new.identity) is kept
     assert [r["id"] for r in snapshot.block_max_top(new, plan, 8).orderBy("rank").collect()] == exact
@@ -140,3 +143,49 @@ def test_revision_decisions(spark):
     got = revisions.decide(requests, rules).collect()
     assert len(got) == 32 and all(r["revision"] == 5 for r in got)
     assert all(r["value"] == 0 for r in got if r["decision"] in ("deny", "urgent", "normal"))
+
+
+def test_drift_bounds_every_unchanged_document():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 5))
+        old, new = (snapshot.Stats(10, float(rng.uniform(1, 300)), tuple(rng.normal(0, 3, n))) for _ in range(2))
+        if rng.random() < 0.3:
+            new = snapshot.Stats(10, old.avg_len * float(rng.uniform(0.99, 1.01)), old.idf)
+        bound = snapshot.drift(old, new)
+        for _ in range(20):
+            f, length = rng.integers(0, 9, n), float(rng.uniform(1, 500))
+            score = lambda s: sum(w * x * (snapshot.K1 + 1) / (x + snapshot.K1 * (1 - snapshot.B + snapshot.B * length / s.avg_len)) for w, x in zip(s.idf, f, strict=True) if x)
+            assert abs(score(new) - score(old)) <= bound
+    same = snapshot.Stats(3, 5.0, (1.0, -0.5))
+    assert snapshot.drift(same, same) == 0 and snapshot.drift(same, snapshot.Stats(3, 5.0, (1.0,))) == math.inf
+    assert snapshot.drift(same, snapshot.Stats(3, 0.0, (1.0, -0.5))) == math.inf == snapshot.drift(same, snapshot.Stats(3, 5.0, (math.nan, 0.0)))
+
+
+def test_gear_chunks_against_the_rolling_sum():
+    rng = random.Random(4)
+    for low, average, high in ((32, 64, 128), (8, 16, 40), (2, 64, 100), (1, 2, 3), (64, 64, 64)):
+        table, bits = segment.gear_table("gear-"), max(1, round(math.log2(average)))
+        for n in (0, 1, 5, 63, 400, 900):
+            text = "".join(rng.choice("ab cdéü日🙂") for _ in range(n))
+            want, start, h = [], 0, 0
+            for i, c in enumerate(text, 1):
+                for b in c.encode():
+                    h = (2 * h + table[b]) % 2**64
+                if i - start >= low and (h % 2**bits == 0 or i - start >= high):
+                    want.append((start, i))
+                    start, h = i, 0
+            want += [(start, n)] if start < n else []
+            assert segment.cdc_gear(text, low, average, high) == want
+
+
+def test_boundary_strengths_and_cuts():
+    far = "alpha beta" * 3
+    for before, after, want in (("One.", " two", 0.85), ("One. ", "two", 0.85), ('One."', " two", 0.0), ("One:", " two", 0.2), ("a\n", "\nb", 1.0), ("One.    ", "two", 0.0), ("x", "y", 0.0)):
+        text = far + before + after + " gamma delta"
+        at = len(far + before)
+        change = 1 - segment.bag_cosine(text[max(0, at - 90) : at], text[at : at + 90])
+        assert segment.boundary_strength(text, at) == pytest.approx(min(1.5, 0.72 * change + 0.55 * want))
+    assert segment.boundary_strength("abc", 0) == segment.boundary_strength("abc", 3) == 1.0
+    text = "aaaa bbbb. cccc dddd eeee ffff gggg"
+    assert segment.candidate_cuts(text, 48) == [11, 16]
