@@ -83,4 +83,4 @@ def noncontiguous(spans: Column) -> Column:
 
 
 def sliced_text(text: Column, spans: Column, separator: str = "\n[...]\n") -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.trim(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))), separator)
+    return F.array_join(F.transform(spans, lambda s: F.regexp_replace(F.substring(text, s["start"] + 1, s["stop"] - s["start"]), r"(?U)^\s+|\s+$", "")), separator)
