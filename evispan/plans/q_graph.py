@@ -71,6 +71,45 @@ def _policy(name: str):
 
 QUERIES |= {name: _policy(policy) for name, policy in (("lexical_tiling", "lexical_tiling"), ("lexical_change_point", "lexical_change_point"), ("tfidf_change_point", "tfidf_change_point"), ("cdc_gear", "cdc_gear"), ("boundary_dp", "boundary_dp"), ("boundary_dp_tuned", "boundary_dp_tuned"))}
 
+CUTS = PIECES.replace("{cut}", r"""[.!?]["'')\]]*\s+|\n\s*\n+""").replace("WITH p AS", "p AS").replace("SELECT doc_id, CAST(k - 1 AS INTEGER) AS seg, CAST(e - n AS INTEGER) AS start, CAST(e AS INTEGER) AS stop FROM q", "")
+#: Cosine of the bags of {reach} characters on either side of every sentence cut.
+COHESION = (
+    f"WITH {CUTS.rstrip()}"
+    + r""", k AS (SELECT q.doc_id, q.k, CAST(e AS BIGINT) AS c, length(text) AS len, text FROM q JOIN documents USING (doc_id) WHERE e < length(text)),
+lw AS (SELECT doc_id, k, w, count(*) AS c FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(substr(text, greatest(0, c - {reach}) + 1, least(c, {reach}))), '[A-Za-z0-9_]+')) AS w FROM k) GROUP BY ALL),
+rw AS (SELECT doc_id, k, w, count(*) AS c FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(substr(text, c + 1, {reach})), '[A-Za-z0-9_]+')) AS w FROM k) GROUP BY ALL),
+ln AS (SELECT doc_id, k, sum(c * c) AS n FROM lw GROUP BY ALL), rn AS (SELECT doc_id, k, sum(c * c) AS n FROM rw GROUP BY ALL),
+dt AS (SELECT doc_id, k, sum(lw.c * rw.c) AS d FROM lw JOIN rw USING (doc_id, k, w) GROUP BY ALL),
+si AS (SELECT k.doc_id, k.k, k.c, coalesce(CAST(d AS DOUBLE) / sqrt(CAST(ln.n * rn.n AS DOUBLE)), 0.0) AS s FROM k LEFT JOIN dt USING (doc_id, k) LEFT JOIN ln USING (doc_id, k) LEFT JOIN rn USING (doc_id, k)),
+ct AS ({keep}),
+bd AS (SELECT doc_id, 0 AS a FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, c FROM ct)
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg, CAST(a AS INTEGER) AS start, CAST(coalesce(lead(a) OVER w, length(text)) AS INTEGER) AS stop FROM bd JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)"""
+)
+ORACLES["lexical_change_point"] = COHESION.replace("{reach}", "72").replace("{keep}", "SELECT doc_id, c FROM si WHERE s <= 0.48")
+ORACLES["lexical_tiling"] = COHESION.replace("{reach}", "100").replace("{keep}", "SELECT doc_id, c FROM (SELECT *, coalesce(lag(s) OVER o, 1.0) AS before, coalesce(lead(s) OVER o, 1.0) AS later FROM si WINDOW o AS (PARTITION BY doc_id ORDER BY c)) WHERE s <= 0.22 OR (s < 0.45 AND s < before AND s < later)")
+ORACLES["tfidf_change_point"] = f"WITH {CUTS.rstrip()}" + r""", us AS (SELECT doc_id, k, t, CAST(e AS BIGINT) AS c, count(*) OVER (PARTITION BY doc_id) AS m FROM q JOIN p USING (doc_id, k)),
+tw AS (SELECT doc_id, k, m, w, count(*) AS c FROM (SELECT doc_id, k, m, unnest(regexp_extract_all(lower(t), '[A-Za-z0-9_]+')) AS w FROM us) GROUP BY ALL),
+tv AS (SELECT doc_id, k, w, c * (ln((1 + m) / (1 + count(*) OVER (PARTITION BY doc_id, w))) + 1) AS v FROM tw),
+nm AS (SELECT doc_id, k, sum(v * v) AS n FROM tv GROUP BY ALL),
+dt AS (SELECT a.doc_id, a.k, sum(a.v * b.v) AS d FROM tv a JOIN tv b ON a.doc_id = b.doc_id AND b.k = a.k + 1 AND a.w = b.w GROUP BY ALL),
+si AS (SELECT us.doc_id, us.k, us.c, round(coalesce(d / sqrt(x.n * y.n), 0.0), 12) AS s FROM us LEFT JOIN dt USING (doc_id, k) LEFT JOIN nm x ON x.doc_id = us.doc_id AND x.k = us.k LEFT JOIN nm y ON y.doc_id = us.doc_id AND y.k = us.k + 1 WHERE us.k < m),
+ct AS (SELECT doc_id, c FROM (SELECT *, coalesce(lag(s) OVER o, 1.0) AS before, coalesce(lead(s) OVER o, 1.0) AS later FROM si WINDOW o AS (PARTITION BY doc_id ORDER BY c)) WHERE s <= 0.32 OR (s < 0.5 AND s < before AND s < later)),
+bd AS (SELECT doc_id, 0 AS a FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, c FROM ct)
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg, CAST(a AS INTEGER) AS start, CAST(coalesce(lead(a) OVER w, length(text)) AS INTEGER) AS stop FROM bd JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)"""
+#: The rolling sum's low six bits hang on the last six bytes.
+ORACLES["cdc_gear"] = """WITH RECURSIVE g AS (SELECT i, CAST('0x' || substr(sha256('gear-' || i), 1, 2) AS INTEGER) & 63 AS v FROM range(256) t(i)),
+hx AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE length(text) > 0),
+bs AS (SELECT doc_id, pos, CAST('0x' || substr(h, CAST(2 * pos - 1 AS INTEGER), 2) AS INTEGER) AS b FROM hx, LATERAL (SELECT unnest(range(1, length(h) // 2 + 1)) AS pos)),
+ws AS (SELECT doc_id, pos, sum(CASE WHEN b & 192 <> 128 THEN 1 ELSE 0 END) OVER o AS ch, coalesce(lead(b) OVER o, 0) & 192 <> 128 AS whole,
+  (v + 2 * coalesce(lag(v) OVER o, 0) + 4 * coalesce(lag(v, 2) OVER o, 0) + 8 * coalesce(lag(v, 3) OVER o, 0) + 16 * coalesce(lag(v, 4) OVER o, 0) + 32 * coalesce(lag(v, 5) OVER o, 0)) % 64 AS h
+  FROM bs JOIN g ON g.i = bs.b WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+cs AS (SELECT doc_id, coalesce(list(ch ORDER BY ch) FILTER (WHERE h = 0 AND whole), []) AS cuts, CAST(max(ch) AS BIGINT) AS n FROM ws GROUP BY doc_id),
+go(doc_id, seg, a, z) AS (
+  SELECT doc_id, 0, CAST(0 AS BIGINT), CAST(least(coalesce(list_min(list_filter(cuts, lambda c: c >= 32)), n), 128, n) AS BIGINT) FROM cs
+  UNION ALL
+  SELECT go.doc_id, seg + 1, z, CAST(least(coalesce(list_min(list_filter(cuts, lambda c: c >= z + 32)), n), z + 128, n) AS BIGINT) FROM go JOIN cs USING (doc_id) WHERE z < n)
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS stop FROM go"""
+
 #: Spans authored from numbers: three a document, some touching, some overlapping.
 AUTHORED = """sp AS (SELECT doc_id, length(text) AS n, CAST(least(length(text), length(text) * a // 10) AS INTEGER) AS s, CAST(least(length(text), length(text) * b // 10) AS INTEGER) AS e
   FROM documents, (VALUES (1, 3), (2, 5), (5, 6), (8, 9)) v(a, b))"""

@@ -146,7 +146,8 @@ OKAPI = r"""w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\s+
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(x) AS term FROM w) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(x)) AS al FROM w),
 rw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
+mn AS (SELECT avg(raw) AS mean FROM rw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rw CROSS JOIN mn)"""
 TOPK = f"""WITH {NEW}, {OKAPI}, p(term) AS (VALUES {", ".join(f"('{t}')" for t in PLAN.terms)}),
 sc AS (SELECT w.id, round(coalesce(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(x) / al))), 0), 9) AS score FROM w CROSS JOIN st LEFT JOIN (p JOIN tf USING (term) JOIN idf USING (term)) ON tf.id = w.id GROUP BY w.id),
 rk AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc)
