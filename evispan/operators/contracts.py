@@ -71,7 +71,7 @@ def parsed_ranking(body: Column, labels: Column) -> Column:
     items = "array<struct<type:string,content:array<struct<type:string,text:string>>>>"
     output = F.from_json(F.get_json_object(body, "$.output"), items)
     texts = F.flatten(F.transform(F.filter(output, lambda o: o["type"] == "message"), lambda o: F.transform(F.filter(o["content"], lambda c: c["type"] == "output_text"), lambda c: c["text"])))
-    given = F.from_json(F.element_at(texts, -1), "map<string,string>")
+    given = F.from_json(F.try_element_at(texts, F.lit(-1)), "map<string,string>")
     ranked = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.element_at(given, F.concat(F.lit("rank_"), i.cast("string"))))
     return F.when((F.size(labels) > 0) & (F.array_sort(ranked) == F.array_sort(labels)), ranked)
 

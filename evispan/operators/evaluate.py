@@ -162,7 +162,7 @@ def bridge_rows(queries: DataFrame) -> DataFrame:
     the footprints covers it; then a bump of it asks for revalidation, else it is committed stale.
     A query without gold raises; an untouched state commits safely.
     """
-    golds = F.when(F.size(F.col("golds")[0]) > 0, F.col("golds")[0]).otherwise(F.raise_error(F.lit("a query has no gold ranges")).cast(iv.KIND))
+    golds = F.when(F.size(F.get("golds", F.lit(0))) > 0, F.get("golds", F.lit(0))).otherwise(F.raise_error(F.lit("a query has no gold ranges")).cast(iv.KIND))
     rows = queries.withColumn("_g", golds).withColumn("_f", F.flatten(F.transform("footprints", lambda f: f["ranges"])))
     rows = rows.withColumn("gold_supports", F.size("_g")).withColumn("captured_supports", F.size(F.filter("_g", lambda g: iv.covered_by(g, F.col("_f")))))
     return rows.select(

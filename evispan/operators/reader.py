@@ -27,8 +27,8 @@ def sources(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return framed.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]), "").alias("sources"))
 
 
-def payload(question: Column, found: Column, sentences: Column, limit: int) -> Column:
-    return F.to_json(F.struct(F.lit(limit).alias("max_output"), F.concat(F.lit("Question: "), question, F.lit("\nSources:\n"), found, F.lit("\nA: "), F.array_join(sentences, " ")).alias("user")))
+def payload(question: Column, found: Column, sentences: Column, limit: int, demos: str = "") -> Column:
+    return F.to_json(F.struct(F.lit(limit).alias("max_output"), F.concat(F.lit(demos + "Question: "), question, F.lit("\nSources:\n"), found, F.lit("\nA: "), F.array_join(sentences, " ")).alias("user")))
 
 
 def ask(rows: DataFrame, model: Model) -> DataFrame:
@@ -37,14 +37,14 @@ def ask(rows: DataFrame, model: Model) -> DataFrame:
     return sent.join(model(sent.select("job_id", "request_id", "payload")).select("job_id", "request_id", "raw"), ["job_id", "request_id"])
 
 
-def one_shot(jobs: DataFrame, docs: DataFrame, chosen: DataFrame, model: Model) -> DataFrame:
+def one_shot(jobs: DataFrame, docs: DataFrame, chosen: DataFrame, model: Model, demos: str = "") -> DataFrame:
     """(job_id, answer, ok, request_ids) from one call a job."""
     rows = jobs.join(sources(docs, chosen), "job_id", "left").withColumn("sources", F.coalesce("sources", F.lit("")))
-    asked = ask(rows.withColumn("payload", payload(F.col("question"), F.col("sources"), F.array().cast("array<string>"), LIMITS["static"])), model)
+    asked = ask(rows.withColumn("payload", payload(F.col("question"), F.col("sources"), F.array().cast("array<string>"), LIMITS["static"], demos)), model)
     return asked.withColumn("t", terminal_answer(F.col("raw"))).select("job_id", "t.answer", "t.ok", F.array("request_id").alias("request_ids"))
 
 
-def stepwise(jobs: DataFrame, docs: DataFrame, model: Model, steps: int = STEPS, top: int = TOP) -> DataFrame:
+def stepwise(jobs: DataFrame, docs: DataFrame, model: Model, steps: int = STEPS, top: int = TOP, demos: str = "") -> DataFrame:
     """(job_id, answer, steps, request_ids): retrieve for the last sentence, read the growing pool, keep the first sentence; ends at "answer is" or after `steps`."""
     none = F.array().cast("array<string>")
     state = settled(jobs.select("job_id", "question", none.alias("sentences"), none.alias("request_ids"), F.lit(None).cast("string").alias("answer")))
@@ -56,7 +56,7 @@ def stepwise(jobs: DataFrame, docs: DataFrame, model: Model, steps: int = STEPS,
         asked_for = live.select("job_id", next_query(F.col("question"), F.col("sentences")).alias("question"))
         hits = lexical.top_k(lexical.bm25(docs.join(live.select("job_id"), "job_id", "left_semi"), lexical.query_terms(asked_for)), top).select("job_id", "pos")
         pool = settled((hits if pool is None else pool.unionByName(hits)).distinct())
-        rows = live.join(sources(docs, pool), "job_id", "left").withColumn("payload", payload(F.col("question"), F.coalesce("sources", F.lit("")), F.col("sentences"), LIMITS["step"]))
+        rows = live.join(sources(docs, pool), "job_id", "left").withColumn("payload", payload(F.col("question"), F.coalesce("sources", F.lit("")), F.col("sentences"), LIMITS["step"], demos))
         got = ask(rows, model).select("job_id", "request_id", first_sentence(F.trim("raw")).alias("s"))
         joined = state.join(got, "job_id", "left")
         fresh = F.col("s").isNotNull()
