@@ -274,18 +274,18 @@ def _dealt_anchors(hot: np.ndarray, buckets: int):
 def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links (i, j) that connect just the rows of run (n, SKETCH) that chains of distances of at most `limit` connect.
 
-    Each row not yet taken becomes a leader and takes what is near it; only rows of different
+    The smallest row not yet taken becomes a leader and takes what is near it; only rows of different
     leaders are then compared, a square of rows at a time, so a group of near copies costs its size
-    and not its square.
+    and not its square, and has mostly the same leaders wherever it meets.
     """
     own = np.full(len(run), -1)
     out: list[tuple[int, int]] = []
     rest = np.arange(len(run))
     while len(rest):
-        lead = rest[0]
+        lead = rest[run[rest, 0].argmin()]
         near = np.bitwise_count(run[rest] ^ run[lead]).sum(axis=1) <= limit
         own[rest[near]] = lead
-        out += [(int(lead), int(j)) for j in rest[near][1:]]
+        out += [(int(lead), int(j)) for j in rest[near] if j != lead]
         rest = rest[~near]
     parent = {int(k): int(k) for k in np.unique(own)}
 
@@ -330,15 +330,40 @@ def _sketch_compare(pivots: dict[int, tuple[int, int]], limit: int):
                 out.append(np.concatenate([run[i], run[j]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
+    def star(links: list[np.ndarray]) -> pa.RecordBatch:
+        """The links' components as stars around their smallest member, which is mostly the same one in every task."""
+        nodes, at = np.unique(np.concatenate(links).reshape(-1, SKETCH), axis=0, return_inverse=True)
+        label = smallest_labels(len(nodes), *at.reshape(-1, 2).T)
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        sides = [pa.array([x.tobytes() for x in np.ascontiguousarray(nodes[i])], pa.binary()) for i in (label[far], far)]
+        return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros((0, 2 * SKETCH), np.uint64)]
         for rows in unpacked(batches, 1 + SKETCH):
-            pairs = linked(rows)
-            sides = [pa.array([x.tobytes() for x in np.ascontiguousarray(side)], pa.binary()) for side in (pairs[:, :SKETCH], pairs[:, SKETCH:])]
-            yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+            held.append(linked(rows))
+            if sum(map(len, held)) >= 1 << 20:
+                yield star(held)
+                held = held[:1]
+        yield star(held)
 
     return run
 
 
+def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 .. n - 1 that links (a, b) reach from each; roots hook to smaller ones and paths halve, so few rounds are needed."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, limit: int = NEAR_LIMIT, hot: int = HOT) -> DataFrame:
     """(rk, doc_id, root): one row per row of docs; rk names the row's id and text, root its group of near copies.
 

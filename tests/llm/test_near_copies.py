@@ -135,3 +135,14 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert docs.count() == sum(left[3].values())
     assert corpus_pipeline.run(spark, tables("empty", [], [], [])).count() == 0
     assert corpus_pipeline.run(spark, tables("unlabelled", rows, [], bench)).count() > 30
+
+
+def test_smallest_labels():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 30), (300, 400), (300, 299)):
+        a, b = (np.arange(m), np.arange(m) + 1) if m == n - 1 else rng.integers(0, n, (2, m))
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                want[i] = want[j] = min(want[i], want[j])
+        assert simhash.smallest_labels(n, a, b).tolist() == want
