@@ -182,7 +182,7 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROU
 
     Starts from the majority vote; counts are smoothed by 1, so an empty or one-sided table is fine.
     """
-    n = len(LABELERS)
+    n = len(patterns[0][0]) if patterns else 0
     post = [1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in patterns]
     prior, tables = 0.5, []
     for _ in range(rounds):
