@@ -183,7 +183,7 @@ LANES, SKETCH = 8, 2
 BLOCK_BITS = 31
 #: Differing bits of the 128 that still link. Shingle sets with a Jaccard similarity of 0.8 differ in 19.4 on average (standard deviation 4.1).
 NEAR_LIMIT = 26
-#: An anchor with this many texts is dealt over SALTS tasks; they are looked for in one text of SAMPLE.
+#: An anchor with this many texts is dealt over SALTS tasks, which together compare all its pairs; they are looked for in one text of SAMPLE.
 HOT, SALTS, SAMPLE = 20_000, 32, 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -244,8 +244,16 @@ def block_anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([own, off, np.repeat(off, far.shape[1])]), np.concatenate([block[own], near, far.ravel()])
 
 
-def _anchor_blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, s0, s1) from (l0 .. l7); an anchor has its block's number above its 31 bits and, at hot anchors, a salt above that."""
+def _salts(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
+    return _mixed(s0 ^ s1) % np.uint64(SALTS) + np.uint64(1)
+
+
+def _anchor_blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, led: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, s0, s1) from (l0 .. l7); an anchor has its block's number above its 31 bits and, at hot anchors, a salt above that.
+
+    Of the sorted hot anchors `led` has the pivots. What is near the pivot goes to its own salt, what
+    isn't to every salt: so a pair meets somewhere, or both of it are near the pivot.
+    """
     for batch in batches:
         lanes = [c.to_numpy().view(np.uint64) for c in batch.columns]
         for k in range(2 * (LANES - SKETCH)):
@@ -254,40 +262,52 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterat
             anchor = anchor | np.uint64(k << 32)
             s0, s1 = lanes[0][row], lanes[1][row]
             if len(hot):
-                anchor = np.where(np.isin(anchor, hot), anchor | ((_mixed(s0 ^ s1) % np.uint64(SALTS) + np.uint64(1)) << np.uint64(40)), anchor)
+                at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                met = hot[at] == anchor
+                far = met & (np.bitwise_count(np.stack([s0, s1], axis=1) ^ led[at]).sum(axis=1) > limit)
+                own = np.where(met, anchor | (_salts(s0, s1) << np.uint64(40)), anchor)
+                every = np.arange(1, SALTS + 1, dtype=np.uint64) << np.uint64(40)
+                anchor = np.concatenate([own[~far], (anchor[far, None] | every).ravel()])
+                s0, s1 = (np.concatenate([s[~far], np.repeat(s[far], SALTS)]) for s in (s0, s1))
             yield anchor, s0, s1
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _anchor_blocks(batches, np.zeros(0, np.uint64)):
+    for block in _anchor_blocks(batches, np.zeros(0, np.uint64), np.zeros((0, SKETCH), np.uint64), 0):
         yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in block], names=["anchor", "s0", "s1"])
 
 
-def _dealt_anchors(hot: np.ndarray, buckets: int):
+def _dealt_anchors(pivots: dict[int, tuple[int, int]], limit: int, buckets: int):
+    hot = np.array(sorted(pivots), np.int64)
+    led = np.array([pivots[a] for a in hot.tolist()], np.int64).reshape(-1, SKETCH).view(np.uint64)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for anchor, s0, s1 in _anchor_blocks(batches, hot):
+        for anchor, s0, s1 in _anchor_blocks(batches, hot.view(np.uint64), led, limit):
             yield _mixed(anchor) >> np.uint64(20), np.stack([anchor, s0, s1], axis=1).view(np.int64)
 
     return lambda batches: dealt(blocks(batches), buckets)
 
 
-def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def sketch_links(run: np.ndarray, limit: int, own: int | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect just the rows of run (n, SKETCH) that chains of distances of at most `limit` connect.
 
+    With `own`, of the pairs those count that have one of the first `own` rows; the very first leads first.
+
     The smallest row not yet taken becomes a leader and takes what is near it; only rows of different
     leaders are then compared, a square of rows at a time, so a group of near copies costs its size
     and not its square, and has mostly the same leaders wherever it meets.
     """
-    own = np.full(len(run), -1)
+    many = len(run) if own is None else own
+    group = np.arange(len(run))
     out: list[tuple[int, int]] = []
     rest = np.arange(len(run))
-    while len(rest):
-        lead = rest[run[rest, 0].argmin()]
+    while len(left := rest[: np.searchsorted(rest, many)]):
+        lead = left[run[left, 0].argmin()] if own is None or out or left[0] else left[0]
         near = np.bitwise_count(run[rest] ^ run[lead]).sum(axis=1) <= limit
-        own[rest[near]] = lead
+        group[rest[near]] = lead
         out += [(int(lead), int(j)) for j in rest[near] if j != lead]
         rest = rest[~near]
-    parent = {int(k): int(k) for k in np.unique(own)}
+    parent = {int(k): int(k) for k in np.unique(group)}
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -296,14 +316,15 @@ def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
         return k
 
     if len(parent) > 1:
-        for a in range(0, len(run), 512):
+        for a in range(0, many, 512):
             for b in range(a, len(run), 512):
                 if len(parent) == 1:
                     break
-                left, right = run[a : a + 512], run[b : b + 512]
-                i, j = np.nonzero((np.bitwise_count(left[:, None] ^ right[None]).sum(axis=2) <= limit) & (own[a : a + 512, None] != own[None, b : b + 512]))
+                z = min(many, a + 512)
+                left, right = run[a:z], run[b : b + 512]
+                i, j = np.nonzero((np.bitwise_count(left[:, None] ^ right[None]).sum(axis=2) <= limit) & (group[a:z, None] != group[None, b : b + 512]))
                 for x, y in zip((i + a).tolist(), (j + b).tolist(), strict=True):
-                    p, q = root(int(own[x])), root(int(own[y]))
+                    p, q = root(int(group[x])), root(int(group[y]))
                     if p != q:
                         parent[q] = p
                         out.append((x, y))
@@ -311,7 +332,7 @@ def sketch_links(run: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def _sketch_compare(pivots: dict[int, tuple[int, int]], limit: int):
-    """Links (a, b) of 16 bytes each from buckets of (anchor, s0, s1); hot anchors' runs are led by their pivot."""
+    """Links (a, b) of 16 bytes each from buckets of (anchor, s0, s1); a hot anchor's salts compare their own texts with all that came."""
 
     def linked(rows: np.ndarray) -> np.ndarray:
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
@@ -323,9 +344,11 @@ def _sketch_compare(pivots: dict[int, tuple[int, int]], limit: int):
         out = [np.concatenate([s[close], s[close + 1]], axis=1)]
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             run, pivot = s[at : at + n], pivots.get(int(anchor[at]) & ((1 << 40) - 1))
+            own = None
             if pivot:
-                run = np.concatenate([np.array([pivot], np.int64).view(np.uint64), run])
-            if got := sketch_links(run, limit):
+                mine = _salts(*run.T) == np.uint64(anchor[at] >> 40)
+                run, own = np.concatenate([np.array([pivot], np.int64).view(np.uint64), run[mine], run[~mine]]), 1 + int(mine.sum())
+            if got := sketch_links(run, limit, own):
                 i, j = np.array(got).T
                 out.append(np.concatenate([run[i], run[j]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
@@ -368,8 +391,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """(rk, doc_id, root): one row per row of docs; rk names the row's id and text, root its group of near copies.
 
     Two texts are linked where they share an anchor of one of twelve 31-bit blocks and their
-    128-bit sketches differ in at most `limit` bits. At a hot anchor a text meets the anchor's
-    pivot and the texts of its own salt; other pairs are left to the other 191 anchors of a text.
+    128-bit sketches differ in at most `limit` bits. At a hot anchor the texts near its pivot are
+    linked to it and dealt over salts; each other text meets all of them in every salt.
     Null and empty texts are copies of each other; repeated rows and a null doc_id count as any.
     """
     spark = docs.sparkSession
@@ -381,7 +404,7 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     some = fps.where(F.pmod(F.xxhash64("l0", "l1"), F.lit(SAMPLE)) == 0).select(*_WIDE).mapInArrow(_anchor_rows, "anchor long, s0 long, s1 long")
     busy = some.groupBy("anchor").agg(F.count("*").alias("c"), F.min(F.struct("s0", "s1")).alias("p")).where(F.col("c") >= max(2, hot // SAMPLE))
     pivots = {r["anchor"]: (r["p"]["s0"], r["p"]["s1"]) for r in busy.collect()}  # each has hot / SAMPLE rows of the sample
-    spread = fps.select(*_WIDE).mapInArrow(_dealt_anchors(np.array(sorted(pivots), np.int64).view(np.uint64), FINE * n), PACKED)
+    spread = fps.select(*_WIDE).mapInArrow(_dealt_anchors(pivots, limit, FINE * n), PACKED)
     links = gathered(spread).mapInArrow(_sketch_compare(pivots, limit), "a binary, b binary")
     roots = connected_components(links.distinct())
     named = marked.select("rk", "doc_id", node().alias("node"))

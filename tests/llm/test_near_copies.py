@@ -89,6 +89,23 @@ def test_near_copies_against_brute_force(spark):
         assert not any(root[i] == root[j] for i, j, s in pairs if s < 0.3)
 
 
+def test_a_hot_anchor_loses_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    lanes = rng.integers(0, 1 << 63, (300, simhash.LANES), dtype=np.uint64)
+    lanes[:, simhash.SKETCH] &= np.uint64(((1 << 31) - 1) << 32)  # all meet at one anchor of the first block, and hardly elsewhere
+    for i in range(0, 240, 2):
+        lanes[i + 1, :2] = lanes[i, :2] ^ np.uint64(0b1011 << int(rng.integers(0, 60)))
+    lanes[240:, :2] = lanes[240, :2] ^ (np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64))
+    rows = [(f"{i}", i, *map(int, r)) for i, r in enumerate(lanes.view(np.int64))]
+    wide = spark.createDataFrame(rows, "rk string, doc_id long, " + ", ".join(f"l{k} long" for k in range(simhash.LANES)))
+    monkeypatch.setattr(simhash, "_with_wide", lambda docs, shingle: wide)
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    for hot in (simhash.HOT, 2):
+        root = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs, hot=hot).collect()}
+        assert len(root) == 300 and len(set(root.values())) == 121
+        assert all(root[i] == root[i + 1] for i in range(0, 240, 2)) and len({root[i] for i in range(240, 300)}) == 1
+
+
 def test_one_row_of_each_group_stays(spark):
     x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
     rows = [(1, x, "p"), (5, x, "q"), (5, y, "r"), (7, z, "s"), (7, z, "s"), (None, x, "t"), (None, "lone word here", "u"), (9, None, "v"), (8, "", "w"), (8, " \n", "w2")]
