@@ -164,7 +164,7 @@ Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def hot_seeds(texts: DataFrame, n: int) -> dict[int, tuple[int, Places]]:
     """{seed: (pivot's key, its places)} of seeds with more than a fair task's share of a sample; 4 n of them at most, as their rows add up to the sample's."""
-    some = settle(texts.where(F.pmod("key", F.lit(SAMPLE)) == 0).mapInArrow(_seed_rows, SEEDS).where("at >= 0").distinct())
+    some = settle(texts.where(F.pmod("key", F.lit(SAMPLE)) == 0).mapInArrow(_seed_rows, SEEDS).where("at >= 0").distinct(), freed=True)
     total = some.count()
     hot = some.groupBy("seed").agg(F.count("*").alias("c"), F.min("key").alias("key")).where(F.col("c") >= max(LEAST_HOT, total // (4 * n)))
     places = some.join(F.broadcast(hot.select("seed", "key")), ["seed", "key"]).groupBy("seed", "key").agg(F.sort_array(F.collect_list(F.struct("at", "long", "back"))).alias("p")).collect()
@@ -613,7 +613,7 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     seeds = rows.select("key", "text").mapInArrow(_dealt_seeds(np.array(sorted(hot), np.int64), FINE * n), PACKED)
     pairs = gathered(seeds).mapInArrow(_pair_rows(hot), "a long, b long, x int, y int")
     found = pairs.repartition(n, "a", "b").sortWithinPartitions("a", "b", "x", "y").mapInArrow(_chain_rows, "a long, b long, ax int, az int, bx int, bz int")
-    found = settle(found.withColumn("chain", F.xxhash64(*found.columns)))
+    found = settle(found.withColumn("chain", F.xxhash64(*found.columns)), freed=True)
     places = found.where("a = b").groupBy(F.col("a").alias("key")).agg(F.collect_set("ax").alias("places"))
     found = found.where("a <> b")
     sides = found.select(F.col("a").alias("key"), "chain", F.lit(0).alias("side"), F.col("ax").alias("x"), F.col("az").alias("z")).unionByName(
@@ -627,7 +627,7 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     aligned = cut.repartition(n, "chain").sortWithinPartitions("chain", "side").mapInArrow(_align_rows, "a long, b long, a_start int, a_stop int, b_start int, b_stop int, same int")
     held = places.join(firsts.where("copy_of is not null"), "key").join(rows.withColumnRenamed("doc_id", "copy_of"), ["copy_of", "key"])
     within = held.select("copy_of", "places", "text").mapInArrow(_window_stars, STARS)
-    return classes, settle(aligned.unionByName(_merged_stars(within, n)))
+    return classes, settle(aligned.unionByName(_merged_stars(within, n)), freed=True)
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -758,9 +758,9 @@ def _star_batch(window, a, b, x, y, n) -> pa.RecordBatch:
 
 def _merged_stars(within: DataFrame, n: int) -> DataFrame:
     """Passages of equal windows: the tasks' own, and those of the tasks' firsts, of which a task sends one a window; a may be b, for further places."""
-    within = settle(within)
+    within = settle(within, freed=True)
     firsts = within.where("b is null").select("window", F.col("a").alias("doc"), F.col("a_start").alias("start"))
-    across = settle(firsts.repartition(n, "window").sortWithinPartitions("window", "doc", "start").mapInArrow(_star_rows, STARS))
+    across = settle(firsts.repartition(n, "window").sortWithinPartitions("window", "doc", "start").mapInArrow(_star_rows, STARS), freed=True)
     shared = across.where("b is null and n = 1").select("window")
     again = within.where("b is not null and window is not null").join(shared, "window", "left_semi")
     linked = "window is null and b is not null"

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evispan.llm import classifier, pii, rules, secrets, urlfilter
+from evispan.llm.common import FREED, settle
 
 
 def plain_templates(rows):
@@ -160,3 +162,15 @@ def test_training_on_odd_tables(spark):
         s = [r["score"] for r in classifier.score(docs, classifier.train(docs, labels(x))).collect()]
         assert len(s) == 4 and all(0 <= v <= 1 for v in s)
     assert classifier.score(docs.where("false"), classifier.train(docs.where("false"), labels([("a", 1)]))).count() == 0
+
+
+def test_settle_frees_what_it_shuffled(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    rows = settle(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), freed=True)
+    assert not shuffles() - before
+    assert sorted((r["k"], r["count"]) for r in rows.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get(FREED) == "false"
