@@ -11,6 +11,10 @@
    a run stay connected. Places where both texts have the same LONG words after the seed, or up to
    it, are left to the windows. A seed of one word repeated counts only where such runs make up
    half of the LEAST_WORDS around it; else every text with a stammer would meet every other.
+   What NEAR leaves out has an exact way: of the texts of longer runs, all that share two seeds
+   within REACH words, which every chain has, meet by both, unless a class holds both texts and
+   passages cover both places already. The stretches there are compared if they share three words
+   in a row that few of the group have, or if what many have would do for a passage alone.
 3. A pair's seeds are chained in order, with gaps costing GAP a word; the best predecessor of each
    seed comes from a Fenwick tree of prefix maxima.
 4. The two stretches of words around each chain are fetched and aligned from their common k-mers;
@@ -46,6 +50,8 @@ FLUSH = 200_000
 TILED = 64
 #: Seed pairs of two texts beyond this many times their places are chained along diagonals.
 REPEATED = 4
+#: Two seeds of a chain's first step are fewer words apart: GAP a word of both gaps is less than the K that a seed adds.
+REACH = int(K / GAP)
 BAND = 16  # diagonals beside a chain's own where an alignment may go
 MARGIN = LEAST_WORDS  # a chain may have lost its outer seeds to edits
 #: Hot seeds are looked for in one of SAMPLE texts; that only spreads work, every seed is joined either way.
@@ -273,6 +279,7 @@ def _pair_rows(hot: dict[int, tuple[int, Places]]):
             yield _pair_batch(np.stack([key[i], key[i], where, where]))
             i = np.flatnonzero(at >= 0)
             if len(i):
+                yield _member_batch(seed[i], key[i], at[i], pivots["seeds"])
                 yield from map(_pair_batch, _joined(seed[i], salt[i], key[i], (at[i], long[i], back[i]), pivots))
 
     return run
@@ -285,6 +292,19 @@ def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["a", "b", "x", "y"])
 
 
+def _member_batch(seed: np.ndarray, key: np.ndarray, at: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """(key, seed, at, -1) of seeds that two texts share, -2 where _joined() leaves out pairs of the run; a hot seed's run may go on elsewhere."""
+    order = np.lexsort((key, seed))
+    s, k = seed[order], key[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    first = np.flatnonzero(new)
+    texts = np.empty(len(s), np.int64)
+    texts[order] = np.add.reduceat(np.concatenate([[True], k[1:] != k[:-1]]) | new, first, dtype=np.int64)[np.cumsum(new) - 1]
+    texts[np.isin(seed, hot)] = NEAR + 3
+    i = np.flatnonzero(texts > 1)
+    return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(seed[i]), pa.array(at[i].astype(np.int32)), pa.array(np.where(texts[i] > NEAR + 2, -2, -1).astype(np.int32))], names=["a", "b", "x", "y"])
+
+
 def _ended(batches):
     yield from batches
     yield None
@@ -398,17 +418,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of the seed pairs (a, b, x, y), sorted; places for windows, which have a = b, go through as (a, a, place, -1, -1, -1)."""
+    """Chains of the seed pairs (a, b, x, y), sorted; places for windows, which have a = b, go through as (a, a, place, -1, -1, -1), shared seeds, which have a negative y, as (key, seed, at, y, -2, -2)."""
     places: list[pa.RecordBatch] = []
 
     def pairs() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, _ = (c.to_numpy() for c in batch.columns)
-            own = a == b
-            if own.any():
-                one, none = pa.array(a[own]), pa.array(np.full(own.sum(), -1, np.int32))
-                places.append(pa.RecordBatch.from_arrays([one, one, pa.array(x[own]), none, none, none], names=["a", "b", "ax", "az", "bx", "bz"]))
-                batch = batch.filter(pa.array(~own))
+            a, b, x, y = (c.to_numpy() for c in batch.columns)
+            seed = y < 0
+            own = (a == b) & ~seed
+            for some, what in ((own, -1), (seed, -2)):
+                if some.any():
+                    none = pa.array(np.full(some.sum(), what, np.int32))
+                    places.append(pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some]), pa.array(x[some]), pa.array(y[some]) if what == -2 else none, none, none], names=["a", "b", "ax", "az", "bx", "bz"]))
+            if (own | seed).any():
+                batch = batch.filter(pa.array(~(own | seed)))
             yield batch
 
     rows: list[tuple] = []
@@ -602,6 +625,14 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     empty texts have no passages and are copies of each other; a null doc_id stands in no passage
     unless a copy has an id; repeated rows are copies.
     """
+    return _found(docs, doc_id, text)[:2]
+
+
+CHAINS = "a long, b long, ax int, az int, bx int, bz int"
+
+
+def _found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """find_passages(), and the components of its passages."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text")).withColumn("key", F.xxhash64("text", F.md5("text")))
@@ -612,22 +643,206 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     hot = hot_seeds(rows.select("key", "text"), n)
     seeds = rows.select("key", "text").mapInArrow(_dealt_seeds(np.array(sorted(hot), np.int64), FINE * n), PACKED)
     pairs = gathered(seeds).mapInArrow(_pair_rows(hot), "a long, b long, x int, y int")
-    found = pairs.repartition(n, "a", "b").sortWithinPartitions("a", "b", "x", "y").mapInArrow(_chain_rows, "a long, b long, ax int, az int, bx int, bz int")
-    found = settle(found.withColumn("chain", F.xxhash64(*found.columns)), freed=True)
-    places = found.where("a = b").groupBy(F.col("a").alias("key")).agg(F.collect_set("ax").alias("places"))
-    found = found.where("a <> b")
+    found = settle(_chained(pairs, n), freed=True)
+    named, texts = firsts.where("copy_of is not null"), rows.withColumnRenamed("doc_id", "copy_of")
+    places = found.where("bx = -1").groupBy(F.col("a").alias("key")).agg(F.collect_set("ax").alias("places"))
+    held = places.join(named, "key").join(texts, ["copy_of", "key"])
+    within = held.select("copy_of", "places", "text").mapInArrow(_window_stars, STARS)
+    aligned = _aligned(found.where("bx >= 0"), named, texts, {key for key, _ in hot.values()}, n)
+    passages = settle(aligned.unionByName(_merged_stars(within, n)), freed=True)
+    roots = connected_components(passages.select("a", "b"))
+    unmet = settle(_unmet(found.where("bx = -2"), named, passages, roots, n), freed=True)
+    if unmet.isEmpty():
+        return classes, passages, roots
+    more = settle(_met(unmet, named, texts, n), freed=True)
+    # classes that the rest connects
+    of = roots.select(F.col("node"), "root")
+    ends = more.select("a", "b").distinct()
+    for c in ("a", "b"):
+        ends = ends.join(of.withColumnsRenamed({"node": c, "root": f"r{c}"}), c, "left")
+    over = connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    both = roots.select("node", "root").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node")))
+    both = both.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    return classes, passages.unionByName(more), settle(both)
+
+
+def _chained(pairs: DataFrame, n: int) -> DataFrame:
+    found = pairs.repartition(n, "a", "b").sortWithinPartitions("a", "b", "x", "y").mapInArrow(_chain_rows, CHAINS)
+    return found.withColumn("chain", F.xxhash64(*found.columns))
+
+
+def _aligned(found: DataFrame, named: DataFrame, texts: DataFrame, pivots: set[int], n: int) -> DataFrame:
+    """Passages around chains of the texts `named` by their keys."""
     sides = found.select(F.col("a").alias("key"), "chain", F.lit(0).alias("side"), F.col("ax").alias("x"), F.col("az").alias("z")).unionByName(
         found.select(F.col("b").alias("key"), "chain", F.lit(1).alias("side"), F.col("bx").alias("x"), F.col("bz").alias("z"))
     )
     # a text goes out once for all its chains; only the pivots of hot seeds may have very many, which are dealt apart
-    part = F.when(F.col("key").isin(sorted({key for key, _ in hot.values()})), F.pmod("chain", F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    wanted = sides.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("chain", "side", "x", "z")).alias("chains")).join(firsts.where("copy_of is not null"), "key")
-    wide = wanted.join(rows.withColumnRenamed("doc_id", "copy_of"), ["copy_of", "key"]).select("copy_of", "chains", "text")
+    part = F.when(F.col("key").isin(sorted(pivots)), F.pmod("chain", F.lit(SALTS))).otherwise(0) if pivots else F.lit(0)
+    wanted = sides.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("chain", "side", "x", "z")).alias("chains")).join(named, "key")
+    wide = wanted.join(texts, ["copy_of", "key"]).select("copy_of", "chains", "text")
     cut = wide.mapInArrow(_stretch_rows, "chain long, side int, doc long, start int, x int, z int, words binary")
-    aligned = cut.repartition(n, "chain").sortWithinPartitions("chain", "side").mapInArrow(_align_rows, "a long, b long, a_start int, a_stop int, b_start int, b_stop int, same int")
-    held = places.join(firsts.where("copy_of is not null"), "key").join(rows.withColumnRenamed("doc_id", "copy_of"), ["copy_of", "key"])
-    within = held.select("copy_of", "places", "text").mapInArrow(_window_stars, STARS)
-    return classes, settle(aligned.unionByName(_merged_stars(within, n)), freed=True)
+    return cut.repartition(n, "chain").sortWithinPartitions("chain", "side").mapInArrow(_align_rows, "a long, b long, a_start int, a_stop int, b_start int, b_stop int, same int")
+
+
+UNMET = "key long, step long, root long, x int, z int, covered boolean"
+
+
+def _unmet(seeds: DataFrame, named: DataFrame, passages: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """UNMET places of texts that share two seeds within REACH words, one of a run that _joined() doesn't pair in full, but where all are of one class and passages cover all places."""
+    ends = passages.select(F.col("a").alias("copy_of"), F.col("a_start").alias("s"), F.col("a_stop").alias("e")).unionByName(passages.select(F.col("b").alias("copy_of"), F.col("b_start").alias("s"), F.col("b_stop").alias("e")))
+    spans = ends.groupBy("copy_of", "s").agg(F.max("e").alias("e")).groupBy("copy_of").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    own = seeds.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct(F.col("b").alias("seed"), F.col("ax").alias("at"), (F.col("az") == -2).alias("long"))).alias("seeds"), F.max(F.col("az") == -2).alias("any")).where("any")
+    texts = own.join(named, "key").join(spans, "copy_of", "left").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    near = texts.select("key", F.coalesce("root", "copy_of").alias("root"), "seeds", "spans").mapInArrow(_seed_steps(FINE * n), PACKED)
+    return gathered(near).mapInArrow(_unmet_rows, UNMET)
+
+
+def _met(unmet: DataFrame, named: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Passages of the stretches around UNMET places of one step."""
+    wanted = unmet.groupBy("key").agg(F.collect_list(F.struct("step", "root", "x", "z", "covered")).alias("places")).join(named, "key")
+    wide = wanted.join(texts, ["copy_of", "key"]).select("copy_of", "places", "text")
+    cut = wide.mapInArrow(_place_stretches, "step long, doc long, root long, covered boolean, start int, x int, z int, words binary")
+    return cut.repartition(n, "step").sortWithinPartitions("step", "doc", "start").mapInArrow(_met_rows, "a long, b long, a_start int, a_stop int, b_start int, b_stop int, same int")
+
+
+def _seed_steps(buckets: int):
+    """Four numbers a step from a seed to another within REACH words: a hash of both, key, root, and place, step and whether passages cover it, from (key, root, seeds, spans)."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for key, root, seeds, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                seed, at, long = (seeds.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                order = np.argsort(at, kind="stable")
+                seed, at, long = seed[order].view(np.uint64), at[order].astype(np.int64), long[order]
+                edge = np.zeros(int(at[-1]) + 2, np.int64)
+                if spans.is_valid:
+                    s, e = (np.minimum(spans.values.field(k).to_numpy(), len(edge) - 1) for k in range(2))
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, e, -1)
+                covered = np.cumsum(edge)[at] > 0
+                many = np.searchsorted(at, at + REACH) - np.arange(len(at)) - 1
+                i = np.repeat(np.arange(len(at)), many)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                use = (long[i] | long[j]) & (at[i] < at[j])
+                i, j = i[use], j[use]
+                if len(i):
+                    both = (seed[i] * _MIX ^ seed[j]) * _MIX
+                    both ^= both >> np.uint64(29)
+                    where = at[i] << 32 | (at[j] - at[i]) << 1 | (covered[i] & covered[j])
+                    yield both >> np.uint64(20), np.stack([both.view(np.int64), np.full(len(i), key, np.int64), np.full(len(i), root, np.int64), where], axis=1)
+
+    return lambda batches: dealt(blocks(batches), buckets)
+
+
+def _unmet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of a step that two texts share, unless all are covered and of one root."""
+    for rows in unpacked(batches, 4):
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
+        step, key, root, where = rows.T
+        new = np.concatenate([[True], step[1:] != step[:-1]])
+        first, run = np.flatnonzero(new), np.cumsum(new) - 1
+        covered = where & 1
+        last = np.append(first[1:], len(rows)) - 1
+        apart = np.minimum.reduceat(covered, first) == 0
+        apart |= np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        i = np.flatnonzero((apart & (key[first] != key[last]))[run])
+        x = where[i] >> 32
+        cols = [key[i], step[i], root[i], x.astype(np.int32), (x + (where[i] >> 1 & 0x7FFFFFFF) + K).astype(np.int32), covered[i] == 1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "step", "root", "x", "z", "covered"])
+
+
+def _place_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(step, doc, root, covered, start, x, z, words) of each place, with a margin, those of a step that meet made one, from (copy_of, places, text)."""
+    names = ["step", "doc", "root", "covered", "start", "x", "z", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    rows: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        rows.clear()
+        return made
+
+    for batch in batches:
+        for doc, places, words in zip(batch.column(0).to_pylist(), batch.column(1), word_hashes(batch.column(2)), strict=True):
+            words = words.astype(np.uint32)
+            now = None
+            for step, root, x, z, covered in [*sorted(tuple(p.values()) for p in places.as_py()), (None,) * 5]:
+                if now is not None and step == now[0] and x - MARGIN <= now[5] + MARGIN:
+                    now[3], now[5] = now[3] and covered, max(now[5], z)
+                    continue
+                if now is not None:
+                    at = max(0, now[2] - MARGIN)
+                    rows.append((now[0], doc, now[1], now[3], at, now[2], now[4], words[at : now[5] + MARGIN].tobytes()))
+                    size += len(rows[-1][-1])
+                now = [step, root, x, covered, z, z]
+            if size > 1 << 22:
+                yield out()
+                size = 0
+    if rows:
+        yield out()
+
+
+#: Stretches of one step that may share a k-mer and be compared for that; what more have counts as if all had it.
+FEW = 32
+
+
+def _compared(words: list[np.ndarray], k: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of stretches, all that may_align() can hold for: they share a k-mer that FEW have, or those that more have would do on both sides."""
+    n, sizes = len(words), np.array([len(w) for w in words])
+    if n <= FEW:
+        yield np.triu_indices(n, 1)
+        return
+    stop = np.cumsum(sizes)
+    of = np.repeat(np.arange(n), sizes)
+    grams = _grams(np.concatenate(words), k)
+    at = np.flatnonzero(np.arange(len(grams)) + k <= stop[of[: len(grams)]])
+    order = np.lexsort((of[at], grams[at]))
+    gram, who, at = grams[at][order], of[at][order], at[order]
+    new = np.concatenate([[True], gram[1:] != gram[:-1]])
+    fresh = new | np.concatenate([[True], who[1:] != who[:-1]])
+    run = np.cumsum(new) - 1
+    have = np.bincount(run, fresh)
+    covered = np.zeros(len(of), bool)
+    for i in range(k):
+        covered[at[(have > FEW)[run]] + i] = True
+    some = np.flatnonzero(fresh & (have <= FEW)[run])
+    who, run = who[some], run[some]
+    last = np.searchsorted(run, run, side="right")
+    many = last - np.arange(len(run)) - 1
+    left = np.repeat(np.arange(len(run)), many)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+    code = np.unique(who[left] * n + who[right])
+    yield code // n, code % n
+    heavy = np.flatnonzero(_long_enough(covered, sizes))
+    wide = max(1, FLUSH // max(1, len(heavy)))
+    for s in range(0, len(heavy), wide):
+        i, j = np.nonzero(np.arange(s, min(len(heavy), s + wide))[:, None] < np.arange(len(heavy))[None])
+        yield heavy[i + s], heavy[j]
+
+
+def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, doc, root, covered, start, x, z, data in _runs(batches, 1, 2):
+        words = [np.frombuffer(w, np.uint32) for w in data]
+        for i, j in _compared(words):
+            meet = (doc[i] != doc[j]) & ~((root[i] == root[j]) & covered[i] & covered[j])
+            i, j = i[meet], j[meet]
+            size = np.cumsum([len(words[a]) + len(words[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) // LOOKED_AT if len(i) else i
+            for some in np.split(np.stack([i, j], 1), np.flatnonzero(np.diff(size)) + 1):
+                pairs = [(a, b) if doc[a] < doc[b] else (b, a) for a, b in some.tolist()]
+                rows = []
+                for (a, b), ok in zip(pairs, may_align([words[m] for pair in pairs for m in pair]) if pairs else [], strict=True):
+                    if ok:
+                        chain = tuple(int(v) for m in (a, b) for v in (x[m] - start[m], z[m] - start[m]))
+                        rows += [(doc[a], doc[b], start[a] + s, start[a] + e, start[b] + t, start[b] + f, same) for s, e, t, f, same in align(words[a], words[b], chain)]
+                if rows:
+                    yield _passage_batch(rows)
+
+
+def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 5
+    cols = list(zip(*rows, strict=True)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "a_start", "a_stop", "b_start", "b_stop", "same"])
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -649,22 +864,76 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def may_align(words: list[np.ndarray], k: int = 3) -> np.ndarray:
+    """Of stretches, two a pair, whether each pair can have a passage; all at once.
+
+    Equal runs grow from k words in a row, so both stretches need LEAST_WORDS places of which
+    LEAST_SHARE are in k-mers of the other: a sum over a stretch that long, of what each place adds.
+    """
+    sizes = np.array([len(w) for w in words])
+    stop, n = np.cumsum(sizes), int(sizes.sum())
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    grams = _grams(np.concatenate(words), k)
+    at = np.flatnonzero(np.arange(len(grams)) + k <= stop[of[: len(grams)]])
+    code = grams[at] ^ (of[at] // 2).astype(np.uint64) * _MIX
+    order = np.argsort(code)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(at) else np.zeros(0, np.int64)
+    side = (of[at] & 1)[order]
+    both = np.minimum.reduceat(side, new) != np.maximum.reduceat(side, new) if len(new) else np.zeros(0, bool)
+    met = at[order[np.repeat(both, np.diff(np.append(new, len(at))))]]
+    covered = np.zeros(n, bool)
+    for i in range(k):
+        covered[met + i] = True
+    return _long_enough(covered, sizes).reshape(-1, 2).all(axis=1)
+
+
+def _long_enough(covered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether LEAST_WORDS places and more in a row of each stretch are covered to LEAST_SHARE."""
+    stop = np.cumsum(sizes)
+    start, n = stop - sizes, len(covered)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    add = round(1 / (1 - LEAST_SHARE)) - 1  # a place that differs takes what so many equal ones bring
+    total = np.concatenate([[0], np.cumsum(np.where(covered, 1, -add))])
+    lift = (total[start] + np.arange(len(sizes)) * 2 * (add + 1) * (int(sizes.max()) + 1))[of]  # a stretch's sums lie below those before it
+    before, after = total[:-1] - lift, total[1:] - lift
+    least = np.minimum.accumulate(before)
+    at = np.flatnonzero(np.arange(n) - start[of] >= LEAST_WORDS - 1)
+    out = np.zeros(len(sizes), bool)
+    out[of[at[after[at] >= least[at - (LEAST_WORDS - 1)]]]] = True
+    return out
+
+
+#: Words that may_align() looks at together.
+LOOKED_AT = 1 << 18
+
+
 def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "a_start", "a_stop", "b_start", "b_stop", "same"]
-    kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 5
     left = None
-    for batch in batches:
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        ok = may_align([side[3] for pair in held for side in pair]) if held else []
         rows = []
+        for (a, b), some in zip(held, ok, strict=True):
+            if some:
+                rows += [(a[1], b[1], a[2] + i, a[2] + j, b[2] + k, b[2] + m, same) for i, j, k, m, same in align(a[3], b[3], (*a[4], *b[4]))]
+        held.clear()
+        return _passage_batch(rows)
+
+    size = 0
+    for batch in batches:
         for chain, side, doc, start, x, z, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             got = (chain, doc, start, np.frombuffer(words, np.uint32), (x - start, z - start))
             if side == 0:
                 left = got
             elif left is not None and left[0] == chain and left[1] != doc:
-                a, b = (left, got) if left[1] < doc else (got, left)
+                held.append((left, got) if left[1] < doc else (got, left))
                 left = None  # repeated rows bring a stretch again
-                rows += [(a[1], b[1], a[2] + i, a[2] + j, b[2] + k, b[2] + m, same) for i, j, k, m, same in align(a[3], b[3], (*a[4], *b[4]))]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                size += len(held[-1][0][3]) + len(held[-1][1][3])
+                if size >= LOOKED_AT:
+                    yield out()
+                    size = 0
+    yield out()
 
 
 STARS = "window long, a long, b long, a_start int, b_start int, n int"
@@ -771,16 +1040,15 @@ def _merged_stars(within: DataFrame, n: int) -> DataFrame:
 
 def op10_collinear_chains(spark, sf_dir: str) -> DataFrame:
     """A row per document: its class (documents that passages or copies connect), its links, and its passages as merged word spans."""
-    classes, passages = find_passages(read_table(spark, sf_dir, "documents"))
-    return summarise(classes, passages)
+    return summarise(*_found(read_table(spark, sf_dir, "documents")))
 
 
-def summarise(classes: DataFrame, passages: DataFrame) -> DataFrame:
+def summarise(classes: DataFrame, passages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links, partner_id, n_words, passage_words, passages) from find_passages().
 
     n_links is the number of other texts in the class; partner_id the smallest that a passage was found with.
     """
-    roots = connected_components(passages.select("a", "b"))
+    roots = connected_components(passages.select("a", "b")) if roots is None else roots
     ends = passages.select(F.col("a").alias("copy_of"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_stop").alias("e")).unionByName(
         passages.select(F.col("b").alias("copy_of"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_stop").alias("e"))
     )
