@@ -521,11 +521,8 @@ def matching_blocks(p: np.ndarray, q: np.ndarray, k: int = 3, chain: tuple[int,
     if chain is not None:
         first, last = sorted((chain[2] - chain[0], chain[3] - chain[1]))
         gp, gq = _grams(p, k), _grams(q, k)
-        for d in (range(first - band, last + band + 1) if band else {first, last}):
-            lo, hi = max(0, -d), min(len(gp), len(gq) - d)
-            if lo < hi:
-                at = lo + np.flatnonzero(gp[lo:hi] == gq[lo + d : hi + d])
-                i, j = np.append(i, at), np.append(j, at + d)
+        beside = [_beside(gp, gq, np.arange(first - band, last + band + 1) if band else np.array([first, last]))]
+        i, j = (np.concatenate(c) for c in zip((i, j), *beside, strict=True))
     order = np.lexsort((-j, i))  # of one place's partners the last first, so that an ordered set has one of them
     i, j = i[order], j[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])) if len(i) else np.zeros(0, np.int64)
@@ -542,6 +539,34 @@ def matching_blocks(p: np.ndarray, q: np.ndarray, k: int = 3, chain: tuple[int,
     return out
 
 
+def _beside(gp: np.ndarray, gq: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of equal k-mers on some diagonals."""
+    if not (len(gp) and len(gq)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    j = np.arange(len(gp)) + diagonals[:, None]
+    d, i = np.nonzero((gq[j.clip(0, len(gq) - 1)] == gp) & (j >= 0) & (j < len(gq)))
+    return i, i + diagonals[d]
+
+
+def _may_lead(p: np.ndarray, q: np.ndarray, chain: tuple[int, int, int, int], k: int = 3) -> bool:
+    """Whether matching_blocks(), with the chain or without, can make a passage: from the diagonals beside the chain's and those of k-mers that stand once on either side."""
+    gp, gq = _grams(p, k), _grams(q, k)
+    (up, ip, np_), (uq, iq, nq) = (np.unique(g, return_index=True, return_counts=True) for g in (gp, gq))
+    _, a, b = np.intersect1d(up[np_ == 1], uq[nq == 1], assume_unique=True, return_indices=True)
+    first, last = sorted((chain[2] - chain[0], chain[3] - chain[1]))
+    diagonals = np.unique(np.concatenate([iq[nq == 1][b] - ip[np_ == 1][a], [0], np.arange(first - BAND, last + BAND + 1)]))
+    if len(diagonals) * len(gp) > FLUSH * 5:
+        return True
+    i, j = _beside(gp, gq, diagonals)
+    for side, at in ((p, i), (q, j)):
+        covered = np.zeros(len(side), bool)
+        for m in range(k):
+            covered[at + m] = True
+        if not _long_enough(covered, np.array([len(side)]))[0]:
+            return False
+    return True
+
+
 def align(p: np.ndarray, q: np.ndarray, chain: tuple[int, int, int, int] | None = None) -> list[tuple[int, int, int, int, int]]:
     """Passages (start, stop in p, start, stop in q, equal words) of two stretches of words.
 
@@ -566,6 +591,8 @@ def align(p: np.ndarray, q: np.ndarray, chain: tuple[int, int, int, int] | None
         found = _joined_blocks(left + blocks + right)
         if covers(found) or not _repeats(p, q):
             return found
+    if chain is not None and not _may_lead(p, q, chain):
+        return []
     found = _joined_blocks(matching_blocks(p, q))
     for band in (0, BAND):
         if covers(found):
@@ -631,8 +658,8 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 CHAINS = "a long, b long, ax int, az int, bx int, bz int"
 
 
-def _found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """find_passages(), and the components of its passages."""
+def _found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """find_passages(), the components of its passages, and their SPANS."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text")).withColumn("key", F.xxhash64("text", F.md5("text")))
@@ -651,10 +678,11 @@ def _found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     aligned = _aligned(found.where("bx >= 0"), named, texts, {key for key, _ in hot.values()}, n)
     passages = settle(aligned.unionByName(_merged_stars(within, n)), freed=True)
     roots = connected_components(passages.select("a", "b"))
-    unmet = settle(_unmet(found.where("bx = -2"), named, passages, roots, n), freed=True)
+    spans = settle(_spans(passages))
+    unmet = settle(_unmet(found.where("bx = -2"), named, spans, roots, n), freed=True)
     if unmet.isEmpty():
-        return classes, passages, roots
-    more = settle(_met(unmet, named, texts, n), freed=True)
+        return classes, passages, roots, spans
+    more = settle(_met(unmet, named, texts, spans, n), freed=True)
     # classes that the rest connects
     of = roots.select(F.col("node"), "root")
     ends = more.select("a", "b").distinct()
@@ -663,7 +691,8 @@ def _found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     over = connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     both = roots.select("node", "root").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node")))
     both = both.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
-    return classes, passages.unionByName(more), settle(both)
+    own = spans.unionByName(_spans(more)).groupBy("copy_of").agg(F.min("partner").alias("partner"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return classes, passages.unionByName(more), settle(both), own.mapInArrow(_merged_spans, SPANS)
 
 
 def _chained(pairs: DataFrame, n: int) -> DataFrame:
@@ -687,21 +716,57 @@ def _aligned(found: DataFrame, named: DataFrame, texts: DataFrame, pivots: set[i
 UNMET = "key long, step long, root long, x int, z int, covered boolean"
 
 
-def _unmet(seeds: DataFrame, named: DataFrame, passages: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+SPANS = "copy_of long, partner long, spans array<struct<s:int,e:int>>"
+
+
+def _spans(passages: DataFrame) -> DataFrame:
+    """SPANS of texts with passages: the smallest other text of one, and the words in passages as spans apart."""
+    ends = passages.select(F.col("a").alias("copy_of"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_stop").alias("e")).unionByName(
+        passages.select(F.col("b").alias("copy_of"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_stop").alias("e"))
+    )
+    # distinct starts and stops are at most a text's words each, however many partners there are
+    starts = ends.groupBy("copy_of", "s").agg(F.max("e").alias("e"), F.min(F.when(F.col("copy_of") != F.col("other"), F.col("other"))).alias("partner"))
+    return starts.groupBy("copy_of").agg(F.min("partner").alias("partner"), F.collect_list(F.struct("s", "e")).alias("spans")).mapInArrow(_merged_spans, SPANS)
+
+
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        s, e = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in range(2))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((s, of))
+        s, e = s[order], e[order]
+        lift = of * (int(e.max(initial=0)) + 1)  # spans are sorted by text
+        new = np.flatnonzero(np.append(True, (s + lift)[1:] > np.maximum.accumulate(e + lift)[:-1]) if len(s) else np.zeros(0, bool))
+        stop = np.maximum.reduceat(e, new) if len(new) else e
+        both = pa.StructArray.from_arrays([pa.array(s[new], pa.int32()), pa.array(stop, pa.int32())], names=["s", "e"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(len(sizes) + 1)), pa.int32()), both)], names=["copy_of", "partner", "spans"])
+
+
+def _covered(spans: pa.Scalar, n: int) -> np.ndarray:
+    """Whether passages have each of n places."""
+    edge = np.zeros(n + 1, np.int64)
+    if spans.is_valid:
+        s, e = (np.minimum(spans.values.field(k).to_numpy(), n) for k in range(2))
+        np.add.at(edge, s, 1)
+        np.add.at(edge, e, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _unmet(seeds: DataFrame, named: DataFrame, spans: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """UNMET places of texts that share two seeds within REACH words, one of a run that _joined() doesn't pair in full, but where all are of one class and passages cover all places."""
-    ends = passages.select(F.col("a").alias("copy_of"), F.col("a_start").alias("s"), F.col("a_stop").alias("e")).unionByName(passages.select(F.col("b").alias("copy_of"), F.col("b_start").alias("s"), F.col("b_stop").alias("e")))
-    spans = ends.groupBy("copy_of", "s").agg(F.max("e").alias("e")).groupBy("copy_of").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     own = seeds.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct(F.col("b").alias("seed"), F.col("ax").alias("at"), (F.col("az") == -2).alias("long"))).alias("seeds"), F.max(F.col("az") == -2).alias("any")).where("any")
-    texts = own.join(named, "key").join(spans, "copy_of", "left").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    texts = own.join(named, "key").join(spans.drop("partner"), "copy_of", "left").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     near = texts.select("key", F.coalesce("root", "copy_of").alias("root"), "seeds", "spans").mapInArrow(_seed_steps(FINE * n), PACKED)
     return gathered(near).mapInArrow(_unmet_rows, UNMET)
 
 
-def _met(unmet: DataFrame, named: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _met(unmet: DataFrame, named: DataFrame, texts: DataFrame, spans: DataFrame, n: int) -> DataFrame:
     """Passages of the stretches around UNMET places of one step."""
-    wanted = unmet.groupBy("key").agg(F.collect_list(F.struct("step", "root", "x", "z", "covered")).alias("places")).join(named, "key")
-    wide = wanted.join(texts, ["copy_of", "key"]).select("copy_of", "places", "text")
-    cut = wide.mapInArrow(_place_stretches, "step long, doc long, root long, covered boolean, start int, x int, z int, words binary")
+    wanted = unmet.groupBy("key").agg(F.collect_list(F.struct("step", "root", "x", "z", "covered")).alias("places")).join(named, "key").join(spans.drop("partner"), "copy_of", "left")
+    wide = wanted.join(texts, ["copy_of", "key"]).select("copy_of", "places", "text", "spans")
+    cut = wide.mapInArrow(_place_stretches, "step long, doc long, root long, covered boolean, start int, x int, z int, words binary, had binary")
     return cut.repartition(n, "step").sortWithinPartitions("step", "doc", "start").mapInArrow(_met_rows, "a long, b long, a_start int, a_stop int, b_start int, b_stop int, same int")
 
 
@@ -714,12 +779,7 @@ def _seed_steps(buckets: int):
                 seed, at, long = (seeds.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 order = np.argsort(at, kind="stable")
                 seed, at, long = seed[order].view(np.uint64), at[order].astype(np.int64), long[order]
-                edge = np.zeros(int(at[-1]) + 2, np.int64)
-                if spans.is_valid:
-                    s, e = (np.minimum(spans.values.field(k).to_numpy(), len(edge) - 1) for k in range(2))
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, e, -1)
-                covered = np.cumsum(edge)[at] > 0
+                covered = _covered(spans, int(at[-1]) + 1)[at]
                 many = np.searchsorted(at, at + REACH) - np.arange(len(at)) - 1
                 i = np.repeat(np.arange(len(at)), many)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -752,9 +812,9 @@ def _unmet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(step, doc, root, covered, start, x, z, words) of each place, with a margin, those of a step that meet made one, from (copy_of, places, text)."""
-    names = ["step", "doc", "root", "covered", "start", "x", "z", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """(step, doc, root, covered, start, x, z, words, had) of each place, with a margin, those of a step that meet made one, from (copy_of, places, text, spans); `had` has a bit for each word, whether passages have it."""
+    names = ["step", "doc", "root", "covered", "start", "x", "z", "words", "had"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     rows: list[tuple] = []
     size = 0
 
@@ -764,8 +824,8 @@ def _place_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return made
 
     for batch in batches:
-        for doc, places, words in zip(batch.column(0).to_pylist(), batch.column(1), word_hashes(batch.column(2)), strict=True):
-            words = words.astype(np.uint32)
+        for doc, places, words, spans in zip(batch.column(0).to_pylist(), batch.column(1), word_hashes(batch.column(2)), batch.column(3), strict=True):
+            words, had = words.astype(np.uint32), _covered(spans, len(words))
             now = None
             for step, root, x, z, covered in [*sorted(tuple(p.values()) for p in places.as_py()), (None,) * 5]:
                 if now is not None and step == now[0] and x - MARGIN <= now[5] + MARGIN:
@@ -773,8 +833,8 @@ def _place_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     continue
                 if now is not None:
                     at = max(0, now[2] - MARGIN)
-                    rows.append((now[0], doc, now[1], now[3], at, now[2], now[4], words[at : now[5] + MARGIN].tobytes()))
-                    size += len(rows[-1][-1])
+                    rows.append((now[0], doc, now[1], now[3], at, now[2], now[4], words[at : now[5] + MARGIN].tobytes(), np.packbits(had[at : now[5] + MARGIN]).tobytes()))
+                    size += len(rows[-1][-2])
                 now = [step, root, x, covered, z, z]
             if size > 1 << 22:
                 yield out()
@@ -787,11 +847,17 @@ def _place_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 FEW = 32
 
 
-def _compared(words: list[np.ndarray], k: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of stretches, all that may_align() can hold for: they share a k-mer that FEW have, or those that more have would do on both sides."""
+def _compared(words: list[np.ndarray], k: int = 3, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of stretches, all that may_align() can hold for: they share a k-mer that FEW have, or those that more have would do on both sides.
+
+    `done` numbers stretches of which those of one number need no comparison; below 0 they do.
+    """
     n, sizes = len(words), np.array([len(w) for w in words])
+    done = np.full(n, -1) if done is None else done
     if n <= FEW:
-        yield np.triu_indices(n, 1)
+        i, j = np.triu_indices(n, 1)
+        use = (done[i] != done[j]) | (done[i] < 0)
+        yield i[use], j[use]
         return
     stop = np.cumsum(sizes)
     of = np.repeat(np.arange(n), sizes)
@@ -803,40 +869,96 @@ def _compared(words: list[np.ndarray], k: int = 3) -> Iterator[tuple[np.ndarray,
     fresh = new | np.concatenate([[True], who[1:] != who[:-1]])
     run = np.cumsum(new) - 1
     have = np.bincount(run, fresh)
+    common = (have > FEW)[run]
     covered = np.zeros(len(of), bool)
     for i in range(k):
-        covered[at[(have > FEW)[run]] + i] = True
-    some = np.flatnonzero(fresh & (have <= FEW)[run])
-    who, run = who[some], run[some]
-    last = np.searchsorted(run, run, side="right")
-    many = last - np.arange(len(run)) - 1
-    left = np.repeat(np.arange(len(run)), many)
-    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-    code = np.unique(who[left] * n + who[right])
+        covered[at[common] + i] = True
+    some = np.flatnonzero(fresh & ~common)
+    few, few_run = who[some], run[some]
+    many = np.searchsorted(few_run, few_run, side="right") - np.arange(len(few)) - 1
+    codes = [np.zeros(0, np.int64)]
+    for part in np.split(np.arange(len(few)), np.flatnonzero(np.diff(np.cumsum(many) // FLUSH)) + 1):
+        left = np.repeat(part, many[part])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+        left, right = few[left], few[right]
+        use = (done[left] != done[right]) | (done[left] < 0)
+        codes.append(np.unique(left[use] * n + right[use]))
+    code = np.unique(np.concatenate(codes))
     yield code // n, code % n
     heavy = np.flatnonzero(_long_enough(covered, sizes))
-    wide = max(1, FLUSH // max(1, len(heavy)))
-    for s in range(0, len(heavy), wide):
-        i, j = np.nonzero(np.arange(s, min(len(heavy), s + wide))[:, None] < np.arange(len(heavy))[None])
-        yield heavy[i + s], heavy[j]
+    if len(heavy) < 2:
+        return
+    # places in k-mers that many have, one at least in three of which one stretch must have of the other
+    number = np.full(len(of), -1)
+    number[at[common]] = np.unique(run[common], return_inverse=True)[1]
+    least = LEAST_SHARE * LEAST_WORDS
+    wide = max(1, (FLUSH * 100) // (int(number.max()) + 2))
+    for s in range(1, len(heavy), wide):
+        block = heavy[s : s + wide]
+        has = np.zeros((len(block), int(number.max()) + 2), bool)
+        for row, j in enumerate(block.tolist()):
+            has[row, number[stop[j] - sizes[j] : stop[j]]] = True
+        has[:, -1] = False  # of places in no such k-mer
+        out, held = [], 0
+        for i in heavy[: s + len(block) - 1].tolist():
+            rows = np.flatnonzero((block > i) & ((done[block] != done[i]) | (done[i] < 0)))
+            if not len(rows):
+                continue
+            own = number[stop[i] - sizes[i] : stop[i]]
+            inside = has[rows[:, None], own]
+            places = inside.copy()
+            for m in range(1, k):
+                places[:, m:] |= inside[:, :-m]
+            j = block[rows[places.sum(axis=1) >= least]]
+            out.append(np.stack([np.full(len(j), i), j]))
+            held += len(j)
+            if held >= FLUSH:
+                yield tuple(np.concatenate(out, axis=1))
+                out, held = [], 0
+        if out:
+            yield tuple(np.concatenate(out, axis=1))
 
 
 def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, doc, root, covered, start, x, z, data in _runs(batches, 1, 2):
+    for _, doc, root, covered, start, x, z, data, had in _runs(batches, 1, 2):
         words = [np.frombuffer(w, np.uint32) for w in data]
-        for i, j in _compared(words):
-            meet = (doc[i] != doc[j]) & ~((root[i] == root[j]) & covered[i] & covered[j])
-            i, j = i[meet], j[meet]
-            size = np.cumsum([len(words[a]) + len(words[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) // LOOKED_AT if len(i) else i
-            for some in np.split(np.stack([i, j], 1), np.flatnonzero(np.diff(size)) + 1):
-                pairs = [(a, b) if doc[a] < doc[b] else (b, a) for a, b in some.tolist()]
-                rows = []
-                for (a, b), ok in zip(pairs, may_align([words[m] for pair in pairs for m in pair]) if pairs else [], strict=True):
-                    if ok:
-                        chain = tuple(int(v) for m in (a, b) for v in (x[m] - start[m], z[m] - start[m]))
-                        rows += [(doc[a], doc[b], start[a] + s, start[a] + e, start[b] + t, start[b] + f, same) for s, e, t, f, same in align(words[a], words[b], chain)]
-                if rows:
-                    yield _passage_batch(rows)
+        yield from _met_step(doc, root, covered, start, x, z, words, [np.unpackbits(np.frombuffer(h, np.uint8), count=len(w)).view(bool) for w, h in zip(words, had, strict=True)])
+
+
+def _met_step(doc, root, covered, start, x, z, words, had) -> Iterator[pa.RecordBatch]:
+    """Passages of the stretches of one step; two that passages have joined by now are left out if all words that they share are in passages already, `had` to begin with."""
+    names, class_of = np.unique(root, return_inverse=True)
+    top = list(range(len(names)))
+
+    def find(a: int) -> int:
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        return a
+
+    ends = np.stack([x - start, z - start], axis=1)
+    for i, j in _compared(words, done=np.where(covered, class_of, -1)):
+        meet = doc[i] != doc[j]
+        i, j = i[meet], j[meet]
+        if not len(i):
+            continue
+        flip = doc[i] > doc[j]
+        i, j = np.where(flip, j, i), np.where(flip, i, j)
+        lengths = np.array([len(w) for w in words])
+        for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(lengths[i] + lengths[j]) // LOOKED_AT)) + 1):
+            pairs = np.stack([i[some], j[some]], axis=1)
+            looked = Looked([words[m] for m in pairs.ravel().tolist()], np.concatenate([ends[pairs[:, 0]], ends[pairs[:, 1]]], axis=1))
+            rows = []
+            for n in np.flatnonzero(looked.ok).tolist():
+                a, b = pairs[n].tolist()
+                if find(class_of[a]) == find(class_of[b]) and not (looked.met_in(2 * n) > had[a]).any() and not (looked.met_in(2 * n + 1) > had[b]).any():
+                    continue
+                for s, e, t, f, same in looked.passages(n):
+                    rows.append((doc[a], doc[b], start[a] + s, start[a] + e, start[b] + t, start[b] + f, same))
+                    top[find(class_of[a])] = find(class_of[b])
+                    for m, low, high in ((a, s, e), (b, t, f)):
+                        had[m][low:high] = True
+            if rows:
+                yield _passage_batch(rows)
 
 
 def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -870,25 +992,74 @@ def may_align(words: list[np.ndarray], k: int = 3) -> np.ndarray:
     Equal runs grow from k words in a row, so both stretches need LEAST_WORDS places of which
     LEAST_SHARE are in k-mers of the other: a sum over a stretch that long, of what each place adds.
     """
-    sizes = np.array([len(w) for w in words])
-    stop, n = np.cumsum(sizes), int(sizes.sum())
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    grams = _grams(np.concatenate(words), k)
-    at = np.flatnonzero(np.arange(len(grams)) + k <= stop[of[: len(grams)]])
-    code = grams[at] ^ (of[at] // 2).astype(np.uint64) * _MIX
-    order = np.argsort(code)
-    new = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(at) else np.zeros(0, np.int64)
-    side = (of[at] & 1)[order]
-    both = np.minimum.reduceat(side, new) != np.maximum.reduceat(side, new) if len(new) else np.zeros(0, bool)
-    met = at[order[np.repeat(both, np.diff(np.append(new, len(at))))]]
-    covered = np.zeros(n, bool)
-    for i in range(k):
-        covered[met + i] = True
-    return _long_enough(covered, sizes).reshape(-1, 2).all(axis=1)
+    return Looked(words, k=k).ok
+
+
+class Looked:
+    """Stretches, two a pair, looked at together: `ok` is may_align(), `met` are the places in k-mers of the other.
+
+    With chains (start and stop in either stretch) `plain` are pairs that only meet on their
+    chain's diagonal, whose passages need no further alignment.
+    """
+
+    def __init__(self, words: list[np.ndarray], chains: np.ndarray | None = None, k: int = 3):
+        self.words, self.chains, self.k = words, chains, k
+        sizes = np.array([len(w) for w in words])
+        stop, n = np.cumsum(sizes), int(sizes.sum())
+        self.start, self.sizes = stop - sizes, sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        grams = _grams(np.concatenate(words), k)
+        at = np.flatnonzero(np.arange(len(grams)) + k <= stop[of[: len(grams)]])
+        pair = of[at] // 2
+        code = grams[at] ^ pair.astype(np.uint64) * _MIX
+        order = np.argsort(code)
+        new = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(at) else np.zeros(0, np.int64)
+        side = (of[at] & 1)[order]
+        both = np.minimum.reduceat(side, new) != np.maximum.reduceat(side, new) if len(new) else np.zeros(0, bool)
+        met = at[order[np.repeat(both, np.diff(np.append(new, len(at))))]]
+        self.met = np.zeros(n, bool)
+        for i in range(k):
+            self.met[met + i] = True
+        self.ok = _long_enough(self.met, sizes).reshape(-1, 2).all(axis=1)
+        if chains is None or not len(at):
+            self.plain = np.zeros(len(sizes) // 2, bool)
+            return
+        shift = chains[:, 2] - chains[:, 0]
+        one = shift == chains[:, 3] - chains[:, 1]
+        left = at[(of[at] & 1 == 0) & one[pair]]
+        mate = left - self.start[of[left]] + shift[of[left] // 2]
+        inside = (mate >= 0) & (mate <= sizes[of[left] + 1] - k)
+        left, mate = left[inside], (mate + self.start[of[left] + 1])[inside]
+        same = grams[left] == grams[mate]
+        left, mate = left[same], mate[same]
+        self.on = np.zeros(len(grams), bool)
+        self.on[left] = self.on[mate] = True
+        free = ~self.on[at][order]
+        clash = np.logical_or.reduceat(free & (side == 0), new) & np.logical_or.reduceat(free & (side == 1), new)
+        self.plain = np.zeros(len(sizes) // 2, bool)
+        self.plain[of[left] // 2] = True
+        self.plain[pair[order[new[clash]]]] = False
+        line = np.zeros(n, bool)
+        for i in range(k):
+            line[left + i] = line[mate + i] = True
+        self.ok &= ~self.plain | _long_enough(line, sizes).reshape(-1, 2).all(axis=1)
+
+    def met_in(self, m: int) -> np.ndarray:
+        return self.met[self.start[m] : self.start[m] + self.sizes[m]]
+
+    def passages(self, pair: int) -> list[tuple[int, int, int, int, int]]:
+        """align() of a pair that is ok."""
+        chain = self.chains[pair].tolist()
+        if not self.plain[pair]:
+            return align(self.words[2 * pair], self.words[2 * pair + 1], tuple(chain))
+        at = self.start[2 * pair]
+        edge = np.diff(np.concatenate([[0], self.on[at : at + self.sizes[2 * pair] - self.k + 1].view(np.int8), [0]]))
+        start, stop = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+        return _joined_blocks([(i, i + chain[2] - chain[0], j - i + self.k - 1) for i, j in zip(start, stop, strict=True)])
 
 
 def _long_enough(covered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether LEAST_WORDS places and more in a row of each stretch are covered to LEAST_SHARE."""
+    """Whether LEAST_WORDS places and more in a row of each stretch, the first and the last among them, are covered to LEAST_SHARE."""
     stop = np.cumsum(sizes)
     start, n = stop - sizes, len(covered)
     of = np.repeat(np.arange(len(sizes)), sizes)
@@ -896,14 +1067,14 @@ def _long_enough(covered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(np.where(covered, 1, -add))])
     lift = (total[start] + np.arange(len(sizes)) * 2 * (add + 1) * (int(sizes.max()) + 1))[of]  # a stretch's sums lie below those before it
     before, after = total[:-1] - lift, total[1:] - lift
-    least = np.minimum.accumulate(before)
-    at = np.flatnonzero(np.arange(n) - start[of] >= LEAST_WORDS - 1)
+    least = np.minimum.accumulate(np.where(covered, before, np.iinfo(np.int64).max))
+    at = np.flatnonzero((np.arange(n) - start[of] >= LEAST_WORDS - 1) & covered)
     out = np.zeros(len(sizes), bool)
     out[of[at[after[at] >= least[at - (LEAST_WORDS - 1)]]]] = True
     return out
 
 
-#: Words that may_align() looks at together.
+#: Words that are looked at together.
 LOOKED_AT = 1 << 18
 
 
@@ -912,11 +1083,12 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        ok = may_align([side[3] for pair in held for side in pair]) if held else []
         rows = []
-        for (a, b), some in zip(held, ok, strict=True):
-            if some:
-                rows += [(a[1], b[1], a[2] + i, a[2] + j, b[2] + k, b[2] + m, same) for i, j, k, m, same in align(a[3], b[3], (*a[4], *b[4]))]
+        if held:
+            looked = Looked([side[3] for pair in held for side in pair], np.array([(*a[4], *b[4]) for a, b in held]))
+            for n in np.flatnonzero(looked.ok).tolist():
+                a, b = held[n]
+                rows += [(a[1], b[1], a[2] + i, a[2] + j, b[2] + k, b[2] + m, same) for i, j, k, m, same in looked.passages(n)]
         held.clear()
         return _passage_batch(rows)
 
@@ -1043,33 +1215,19 @@ def op10_collinear_chains(spark, sf_dir: str) -> DataFrame:
     return summarise(*_found(read_table(spark, sf_dir, "documents")))
 
 
-def summarise(classes: DataFrame, passages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def summarise(classes: DataFrame, passages: DataFrame, roots: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links, partner_id, n_words, passage_words, passages) from find_passages().
 
     n_links is the number of other texts in the class; partner_id the smallest that a passage was found with.
     """
     roots = connected_components(passages.select("a", "b")) if roots is None else roots
-    ends = passages.select(F.col("a").alias("copy_of"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_stop").alias("e")).unionByName(
-        passages.select(F.col("b").alias("copy_of"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_stop").alias("e"))
-    )
-    links = ends.where("copy_of <> other").groupBy("copy_of").agg(F.min("other").alias("partner_id"))
+    spans = _spans(passages) if spans is None else spans
     sizes = roots.groupBy("root").agg((F.count("*") - 1).alias("n_links"))
-    # distinct starts and stops are at most a text's words each, however many partners there are
-    spans = ends.groupBy("copy_of", "s").agg(F.max("e").alias("e")).groupBy("copy_of").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    zero = F.array().cast("array<struct<s:int,e:int>>")
-    merged = F.aggregate(
-        "_spans",
-        zero,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["s"].alias("s"), F.greatest(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    spans = spans.select("copy_of", merged.alias("_m"))
-    info = links.join(spans, "copy_of").join(roots.select(F.col("node").alias("copy_of"), F.col("root")).join(sizes, "root"), "copy_of")
+    info = spans.where("partner is not null").join(roots.select(F.col("node").alias("copy_of"), F.col("root")).join(sizes, "root"), "copy_of")
     info = info.select(
-        "copy_of", "root", "n_links", "partner_id",
-        F.aggregate("_m", F.lit(0), lambda a, x: a + x["e"] - x["s"]).cast("long").alias("passage_words"),
-        F.array_join(F.transform("_m", lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias("passages"),
+        "copy_of", "root", "n_links", F.col("partner").alias("partner_id"),
+        F.aggregate("spans", F.lit(0), lambda a, x: a + x["e"] - x["s"]).cast("long").alias("passage_words"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias("passages"),
     )
     return classes.join(info, "copy_of", "left").select(
         "doc_id",

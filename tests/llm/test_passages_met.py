@@ -59,3 +59,50 @@ def test_stretches_of_a_step_are_compared_if_they_can_align(vocabulary, monkeypa
     pairs = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words))]
     ok = passages.may_align([words[k] for pair in pairs for k in pair])
     assert {pair for pair, may in zip(pairs, ok, strict=True) if may} <= met and all(i < j for i, j in met)
+
+
+def runs_of_one_word(rng: random.Random, n: int):
+    """Stretches of a few one-word runs of 20 to 90 words."""
+    return [np.array([w for _ in range(rng.randint(1, 3)) for w in [rng.randrange(4)] * rng.randint(20, 90)], np.uint32) for _ in range(n)]
+
+
+def test_runs_shorter_than_a_passage_are_left_out_before():
+    """48 words and 80 of one kind in a row make no passage of 50, though with two words about they are 96 % of one."""
+    p, q = np.array([1] * 40 + [7] * 48 + [2] * 40, np.uint32), np.array([3] * 40 + [7] * 80 + [4] * 40, np.uint32)
+    assert passages.align(p, q, (50, 70, 50, 70)) == [] and not passages.may_align([p, q])[0]
+    assert passages.may_align([np.append(p, [7] * 2), np.append(q, [7] * 2)]).tolist() == [False]
+    assert passages.may_align([np.array([7] * 50, np.uint32), q])[0]
+
+
+@pytest.mark.parametrize("vocabulary", [1, 3, 30, 10**6])
+def test_stretches_looked_at_together_align_as_one_by_one(vocabulary):
+    rng = random.Random(5)
+    words = runs_of_one_word(rng, 400) if vocabulary == 1 else stretches(rng, 300, vocabulary)
+    chains = []
+    for p, q in zip(words[::2], words[1::2], strict=True):
+        a, b = rng.randint(0, max(0, len(p) - 10)), rng.randint(0, max(0, len(q) - 10))
+        i, j = rng.choice([(i, j) for i in range(len(p)) for j in range(len(q)) if p[i] == q[j]] or [(a, b)])
+        chains.append((i, i + 10, j, j + 10 + rng.choice([0, 0, 0, 3])))
+    looked = passages.Looked(words, np.array(chains))
+    for k, chain in enumerate(chains):
+        found = passages.align(words[2 * k], words[2 * k + 1], chain)
+        assert (looked.passages(k) if looked.ok[k] else []) == found
+    assert looked.ok.any() and not looked.ok.all()
+
+
+def test_a_step_of_many_near_copies_is_aligned_about_once_a_text(monkeypatch):
+    """All of n near copies of a line meet at one step; all pairs would be n * n / 2 alignments."""
+    rng = random.Random(6)
+    n, line = 90, [rng.randrange(10**6) for _ in range(100)]
+    words = [np.array([rng.randrange(10**6, 10**7) if k in (10 + i % 9, 88 - i % 7) else w for k, w in enumerate(line)], np.uint32) for i in range(n)]
+    calls = []
+    monkeypatch.setattr(passages.Looked, "passages", lambda self, pair, real=passages.Looked.passages: calls.append(pair) or real(self, pair))
+    one = np.ones(n, np.int32)
+    rows = [r for b in passages._met_step(np.arange(n), np.arange(n), np.zeros(n, bool), 0 * one, 45 * one, 60 * one, words, [np.zeros(100, bool) for _ in range(n)]) for r in b.to_pylist()]
+    root = list(range(n))
+    for r in rows:
+        low, high = sorted((root[r["a"]], root[r["b"]]))
+        root = [low if x == high else x for x in root]
+    had = [{w for r in rows for k in ("a", "b") if r[k] == i for w in range(r[f"{k}_start"], r[f"{k}_stop"])} for i in range(n)]
+    assert set(root) == {0} and all(h == set(range(100)) for h in had)
+    assert len(calls) <= 10 * n
