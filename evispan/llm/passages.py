@@ -46,6 +46,8 @@ LEAST_WORDS, LEAST_SHARE = 50, 0.8
 LONG = LEAST_WORDS - WINDOW + 1
 #: Window rows that are merged, and pairs that are made, at once.
 FLUSH = 200_000
+#: Words of texts whose seeds are looked for together.
+SEEDED = 1 << 17
 #: From this many pairs of a seed's places in two texts, repeats at one stride are tiled.
 TILED = 64
 #: Seed pairs of two texts beyond this many times their places are chained along diagonals.
@@ -86,6 +88,22 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at.astype(np.int32)
 
 
+def _seeds_at(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """seeds_of() of many texts that lie side by side in `words`, each from its start to its stop; places are those in `words`."""
+    if len(words) < K + WINDOW:
+        found = [(h, at + s) for s, e in zip(start.tolist(), stop.tolist(), strict=True) for h, at in [seeds_of(words[s:e])]]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else seeds_of(words)
+    h = _kmers(words)
+    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1)
+    whole = np.repeat(stop, stop - start)[: len(windows)] - np.arange(len(windows)) >= K + WINDOW - 1
+    at = np.flatnonzero(whole)
+    at = at + windows[at]
+    short = np.flatnonzero((stop - start >= K) & (stop - start < K + WINDOW - 1))
+    own = [s + int(h[s : e - K + 1].argmin()) for s, e in zip(start[short].tolist(), stop[short].tolist(), strict=True)]
+    at = np.unique(np.concatenate([at, np.array(own, np.int64)]))
+    return h[at], at
+
+
 def anchors_of_windows(words: np.ndarray) -> np.ndarray:
     """For each start of LEAST_WORDS words the place of its first seed, which equal words share."""
     n = len(words) - LEAST_WORDS + 1
@@ -95,16 +113,21 @@ def anchors_of_windows(words: np.ndarray) -> np.ndarray:
     return np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:n].argmin(axis=1)
 
 
-def thinned(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether each seed is joined as such: one of a single word repeated only where runs abound, and then at every K-th place of its run."""
+def thinned(words: np.ndarray, at: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+    """Whether each seed is joined as such: one of a single word repeated only where runs abound, and then at every K-th place of its run.
+
+    Of texts side by side, `first` and `last` are where each seed's text starts and stops.
+    """
+    last = len(words) if last is None else last
     same = np.concatenate([[False], words[1:] == words[:-1]])
+    same[first] = False
     if not same.any():
         return np.ones(len(at), bool)
     start = np.flatnonzero(~same)
     size = np.diff(np.append(start, len(words)))
     of = np.cumsum(~same) - 1
     total = np.concatenate([[0], np.cumsum((size >= K)[of])])
-    around = total[np.minimum(len(words), at + LEAST_WORDS)] - total[np.maximum(0, at + K - LEAST_WORDS)]
+    around = total[np.minimum(last, at + LEAST_WORDS)] - total[np.maximum(first, at + K - LEAST_WORDS)]
     alone = of[at] == of[at + K - 1]
     return ~alone | ((around >= LEAST_RUNS) & ((at - start[of[at]]) % K == 0))
 
@@ -116,32 +139,40 @@ def _seed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
     end, 0 where there are fewer; a place that only windows are anchored at is given as ~at.
     """
     seen: set[int] = set()
+
+    def block(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        words, sizes = np.concatenate([w for _, w in held]), np.array([len(w) for _, w in held])
+        stop = np.cumsum(sizes)
+        start = stop - sizes
+        h, at = _seeds_at(words, start, stop)
+        of = np.searchsorted(stop, at, "right")
+        first, last = start[of], stop[of]
+        long, back = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        fits, behind = at <= last - LONG, at >= first + LONG - K
+        total = prefix_sums(words)
+        long[fits] = stretch_hashes(total, at[fits], at[fits] + LONG) >> np.uint64(32)
+        back[behind] = stretch_hashes(total, at[behind] + K - LONG, at[behind] + K) >> np.uint64(32)
+        joined = thinned(words, at, first, last)
+        use = joined | fits
+        keys, place = np.array([key for key, _ in held], np.int64)[of], at - first
+        return tuple(c[use] for c in (h.view(np.int64), keys, np.where(joined, place, ~place).astype(np.int64), long, back))
+
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        size = 0
         keys = batch.column(0).to_pylist()
         fresh = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
         texts = batch.column(1).take(pa.array(fresh, pa.int64()))
         for i, words in zip(fresh, word_hashes(texts), strict=True):
-            key = keys[i]
-            h, at = seeds_of(words)
-            if not len(h):
+            if len(words) < K:
                 continue
-            long, back = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            fits, behind = at <= len(words) - LONG, at >= LONG - K
-            total = prefix_sums(words)
-            long[fits] = stretch_hashes(total, at[fits], at[fits] + LONG) >> np.uint64(32)
-            back[behind] = stretch_hashes(total, at[behind] + K - LONG, at[behind] + K) >> np.uint64(32)
-            joined = thinned(words, at)
-            use = joined | fits
-            for col, x in zip(cols, (h.view(np.int64), np.full(len(h), key, np.int64), np.where(joined, at, ~at).astype(np.int64), long, back), strict=True):
-                col.append(x[use])
-            size += len(h)
-            if size >= FLUSH:
-                yield tuple(np.concatenate(c) for c in cols)
-                cols, size = [[], [], [], [], []], 0
-        if cols[0]:
-            yield tuple(np.concatenate(c) for c in cols)
+            held.append((keys[i], words))
+            size += len(words)
+            if size >= SEEDED:
+                yield block(held)
+                held, size = [], 0
+    if held:
+        yield block(held)
 
 
 SEEDS = "seed long, key long, at long, long long, back long"
