@@ -819,12 +819,22 @@ def _seed_steps(buckets: int):
                 if len(i):
                     both = (seed[i] * _MIX ^ seed[j]) * _MIX
                     both ^= both >> np.uint64(29)
-                    where = at[i] << 32 | (at[j] - at[i]) << 1 | (covered[i] & covered[j])
-                    yield both >> np.uint64(20), np.stack([both.view(np.int64), np.full(len(i), key, np.int64), np.full(len(i), root, np.int64), where], axis=1)
+                    both, x, z, had = _near_made_one(both, at[i], at[j], covered[i] & covered[j])
+                    where = x << 32 | (z - x) << 1 | had
+                    yield both >> np.uint64(20), np.stack([both.view(np.int64), np.full(len(x), key, np.int64), np.full(len(x), root, np.int64), where], axis=1)
 
     return lambda batches: dealt(blocks(batches), buckets)
 
 
+def _near_made_one(step: np.ndarray, x: np.ndarray, z: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A text's places of steps, those of one step made one whose stretches _place_stretches() would: a run of one word or line has very many."""
+    order = np.lexsort((x, step))
+    step, x, z, covered = step[order], x[order], z[order], covered[order]
+    lift = np.cumsum(np.concatenate([[False], step[1:] != step[:-1]])) * (int(z.max()) + K + 2 * MARGIN + 1)
+    new = np.flatnonzero(np.concatenate([[True], (x + lift)[1:] > np.maximum.accumulate(z + lift)[:-1] + K + 2 * MARGIN]))
+    return step[new], x[new], np.maximum.reduceat(z, new), np.minimum.reduceat(covered, new)
+
+
 def _unmet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All places of a step that two texts share, unless all are covered and of one root."""
     for rows in unpacked(batches, 4):
@@ -957,7 +967,7 @@ def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met_step(doc, root, covered, start, x, z, words, had) -> Iterator[pa.RecordBatch]:
-    """Passages of the stretches of one step; two that passages have joined by now are left out if all words that they share are in passages already, `had` to begin with."""
+    """Passages of the stretches of one step; two that passages have joined by now are left out if passages have all words from the first to the last that they share, `had` to begin with."""
     names, class_of = np.unique(root, return_inverse=True)
     top = list(range(len(names)))
 
@@ -981,7 +991,7 @@ def _met_step(doc, root, covered, start, x, z, words, had) -> Iterator[pa.Record
             rows = []
             for n in np.flatnonzero(looked.ok).tolist():
                 a, b = pairs[n].tolist()
-                if find(class_of[a]) == find(class_of[b]) and not (looked.met_in(2 * n) > had[a]).any() and not (looked.met_in(2 * n + 1) > had[b]).any():
+                if find(class_of[a]) == find(class_of[b]) and had[a][looked.reach(2 * n)].all() and had[b][looked.reach(2 * n + 1)].all():
                     continue
                 for s, e, t, f, same in looked.passages(n):
                     rows.append((doc[a], doc[b], start[a] + s, start[a] + e, start[b] + t, start[b] + f, same))
@@ -1006,9 +1016,9 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows, size = [], 0
         for doc, chains_, words in zip(batch.column(0).to_pylist(), batch.column(1), word_hashes(batch.column(2)), strict=True):
             words = words.astype(np.uint32)
-            for c in chains_.as_py():
-                s = max(0, c["x"] - MARGIN)
-                rows.append((c["chain"], c["side"], doc, s, c["x"], c["z"], words[s : c["z"] + MARGIN].tobytes()))
+            for chain, side, x, z in zip(*(chains_.values.field(k).to_pylist() for k in range(4)), strict=True):
+                s = max(0, x - MARGIN)
+                rows.append((chain, side, doc, s, x, z, words[s : z + MARGIN].tobytes()))
                 size += len(rows[-1][-1])
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -1075,8 +1085,10 @@ class Looked:
             line[left + i] = line[mate + i] = True
         self.ok &= ~self.plain | _long_enough(line, sizes).reshape(-1, 2).all(axis=1)
 
-    def met_in(self, m: int) -> np.ndarray:
-        return self.met[self.start[m] : self.start[m] + self.sizes[m]]
+    def reach(self, m: int) -> slice:
+        """From the first to the last place that is met, which no passage goes beyond."""
+        met = np.flatnonzero(self.met[self.start[m] : self.start[m] + self.sizes[m]])
+        return slice(int(met[0]), int(met[-1]) + 1) if len(met) else slice(0, 0)
 
     def passages(self, pair: int) -> list[tuple[int, int, int, int, int]]:
         """align() of a pair that is ok."""

@@ -106,3 +106,11 @@ def test_a_step_of_many_near_copies_is_aligned_about_once_a_text(monkeypatch):
     had = [{w for r in rows for k in ("a", "b") if r[k] == i for w in range(r[f"{k}_start"], r[f"{k}_stop"])} for i in range(n)]
     assert set(root) == {0} and all(h == set(range(100)) for h in had)
     assert len(calls) <= 10 * n
+
+
+def test_a_step_of_a_run_of_one_word_is_one_place():
+    """Seeds of one word at every fifth place make nine steps each, all of one hash; what is far apart stays so."""
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(0, 5000, 5), np.arange(5, 50, 5), indexing="ij"))
+    x, step = np.append(i, [9000, 3]), np.append(np.full(len(i), 7), [7, 8]).astype(np.uint64)
+    got = passages._near_made_one(step, x, np.append(i + j, [9010, 20]), np.arange(len(x)) != 17)
+    assert [c.tolist() for c in got] == [[7, 7, 8], [0, 9000, 3], [5040, 9010, 20], [False, True, True]]
